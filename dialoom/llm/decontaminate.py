@@ -67,11 +67,12 @@ def _position(at: Column, size: Column, config: SeedConfig) -> Column:
 
 
 def seeds(frame: DataFrame, config: SeedConfig, bitmap: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """``frame`` (_key, _t) to one row (_key, _len, seed, around) for each seed, of those in the bitmap if there is one.
+    """``frame`` (_key, _text) to one row (_key, _len, seed, around) for each seed, of those in the bitmap if there is one.
 
     The bitmap is tested between the generator and the projection that copies tokens, so only hits are ever built.
     """
-    each = frame.withColumn("_h", _hashes(F.col("_t"), config)).select("_key", "_t", F.posexplode("_h").alias("_at", "seed"))
+    both = let(tokens(F.col("_text")), lambda t: F.struct(t.alias("t"), _hashes(t, config).alias("h")))
+    each = frame.select("_key", both.alias("_b")).select("_key", F.col("_b.t").alias("_t"), F.posexplode("_b.h").alias("_at", "seed"))
     if bitmap is not None:
         words, bits = bitmap[0].scalar(), bitmap[1]
         test = lambda bit: F.bit_get(F.get(words, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
@@ -94,14 +95,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = SeedCon
     """(key, item_id, n_equal, n_hits): for each document (``key``, doc_id unless given) and item that overlap."""
     scratch = scratch or Scratch(docs.sparkSession, "seeds")
     key = F.col("doc_id") if key is None else key
-    items = seeds(benchmark.select(F.col("item_id").alias("_key"), tokens(F.col("text")).alias("_t")), config)
+    items = seeds(benchmark.select(F.col("item_id").alias("_key"), F.col("text").alias("_text")), config)
     need = F.ceil(F.lit(config.share) * F.least(F.lit(config.window), F.col("_len")))
     known = scratch.keep(items.select(F.col("_key").alias("item_id"), need.alias("need"), "seed", F.col("around").alias("_of_item")), "known")
     n = known.count()
     bits = min(config.most_bits, max(config.least_bits, 1 << math.ceil(math.log2(max(1, 64 * n)))))
     bitmap = scratch.keep(_bitmap(known.select("seed"), bits), "bitmap")
 
-    hits = seeds(docs.select(key.alias("_key"), tokens(F.col("text")).alias("_t")), config, (bitmap, bits)).select("_key", "seed", F.col("around").alias("_of_doc"))
+    hits = seeds(docs.select(key.alias("_key"), F.col("text").alias("_text")), config, (bitmap, bits)).select("_key", "seed", F.col("around").alias("_of_doc"))
     equal = F.zip_with("_of_doc", "_of_item", lambda a, b: F.when(a == b, 1).otherwise(0))
     best = let(equal, lambda e: F.array_max(F.transform(F.sequence(F.lit(0), F.size(e) - config.window), lambda i: F.aggregate(F.slice(e, i + 1, config.window), F.lit(0), lambda a, x: a + x))))
     joined = hits.join(known, "seed").select("_key", "item_id", "need", best.alias("n_equal")).filter("n_equal >= need")
