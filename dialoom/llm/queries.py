@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, quality, urls
+from . import decontaminate, minhash, mixing, pii, quality, urls
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlap_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Query]:
         "op3_pii": op3_pii,
         "op4_url_filters": op4_url_filters,
         "op6_mixing": op6_mixing,
+        "op7_near_duplicates": op7_near_duplicates,
         "op9_decontamination": op9_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }
