@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing, pii, quality, repeats, urls
+from . import decontaminate, licenses, minhash, mixing, pii, quality, repeats, toxicity, urls
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(read_table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(read_table(spark, sf_dir, "pages"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
@@ -42,8 +50,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_pii": op3_pii,
         "op4_url_filters": op4_url_filters,
+        "op5_licenses": op5_licenses,
         "op6_mixing": op6_mixing,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_repeats": op8_repeats,
