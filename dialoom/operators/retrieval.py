@@ -82,8 +82,8 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, config: Retrieval = Retri
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = df.join(F.broadcast(stats), how="cross").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).filter("idf > 0")
     part = F.col("idf") * F.col("f") * (config.k1 + 1) / (F.col("f") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    met = posted.join(weighed, "term").select("chunk_id", "term", part.cast(DEC).alias("part")).join(wanted, "term")
-    return met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("part") * F.col("times")).cast("double").alias("score")).filter("score > 0")
+    met = posted.join(weighed, "term").select("chunk_id", "term", part.alias("part")).join(wanted, "term")
+    return met.groupBy("query_id", "chunk_id").agg(F.sum((F.col("part") * F.col("times")).cast(DEC)).cast("double").alias("score")).filter("score > 0")
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:

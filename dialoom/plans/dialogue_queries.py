@@ -131,10 +131,10 @@ def chunk_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Quotes: 20 characters from the middle of every 5th conversation's second turn, sought in the whole conversation.
 _FORM = "trim(regexp_replace(regexp_replace(lower({x}), '[''’.]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
-_QUOTES = f"""f AS (SELECT conv_id AS ep, turn, {_FORM.format(x='text')} AS f FROM conversations), at AS (SELECT ep, turn, f, coalesce(sum(length(f) + 1) OVER (PARTITION BY ep ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM f),
+_QUOTES = f"""f AS (SELECT conv_id AS ep, turn, {_FORM.format(x='text')} AS f FROM conversations), placed AS (SELECT ep, turn, f, coalesce(sum(length(f) + 1) OVER (PARTITION BY ep ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM f),
 ep AS (SELECT ep, string_agg(f, ' ' ORDER BY turn) AS t FROM f GROUP BY ep), q AS (SELECT conv_id AS quote_id, {_FORM.format(x='substr(text, 10, 20)')} AS needle FROM conversations WHERE turn = 1 AND conv_id % 5 = 0),
 pos AS (SELECT quote_id, unnest(list_filter(range(0, greatest(length(t) - length(needle) + 1, 0)), lambda p: substr(t, p + 1, length(needle)) = needle)) AS p, length(needle) AS n FROM q JOIN ep ON ep = quote_id WHERE needle <> ''),
-hit AS (SELECT quote_id, (SELECT max(turn) FROM at WHERE at.ep = quote_id AND a <= p) AS row_first, (SELECT max(turn) FROM at WHERE at.ep = quote_id AND a <= p + n - 1) AS row_last FROM pos)"""
+hit AS (SELECT quote_id, (SELECT max(turn) FROM placed WHERE placed.ep = quote_id AND a <= p) AS row_first, (SELECT max(turn) FROM placed WHERE placed.ep = quote_id AND a <= p + n - 1) AS row_last FROM pos)"""
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

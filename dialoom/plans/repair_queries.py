@@ -85,8 +85,8 @@ _NAMES = _LABELS + rf"""n0 AS (SELECT conv_id, turn, unnest(p) AS part, unnest(g
 n AS (SELECT conv_id, turn, i, {_TIDY.format(x='part')} AS name FROM n0), c AS (SELECT name, count(*) AS n FROM n GROUP BY name),
 e AS (SELECT name, n, list_sum(list_transform(regexp_extract_all(name, '[A-Za-z]+'), lambda w: (CASE WHEN regexp_matches(w, '^[a-z]') THEN 1 ELSE 0 END) + length(regexp_replace(substr(w, 2), '[^A-Z]', '', 'g')))) AS errors FROM c),
 m AS (SELECT name AS variant, best FROM (SELECT name, first_value(name) OVER (PARTITION BY lower(name) ORDER BY errors, n DESC, name) AS best FROM e) WHERE name <> best),
-scoped AS (SELECT 3 AS s, 'Guest' AS f, 'Visitor' AS o), glob AS (SELECT 'Guest' AS f, 'Stranger' AS o UNION ALL SELECT 'Bob', 'Robert'),
-res AS (SELECT n.conv_id, n.turn, n.i, n.name, coalesce(scoped.o, glob.o, m.best, n.name) AS resolved FROM n LEFT JOIN m ON n.name = m.variant LEFT JOIN scoped ON n.conv_id % 10 = scoped.s AND coalesce(m.best, n.name) = scoped.f LEFT JOIN glob ON coalesce(m.best, n.name) = glob.f)
+scoped AS (SELECT 3 AS s, 'Guest' AS f, 'Visitor' AS o), everywhere AS (SELECT 'Guest' AS f, 'Stranger' AS o UNION ALL SELECT 'Bob', 'Robert'),
+res AS (SELECT n.conv_id, n.turn, n.i, n.name, coalesce(scoped.o, everywhere.o, m.best, n.name) AS resolved FROM n LEFT JOIN m ON n.name = m.variant LEFT JOIN scoped ON n.conv_id % 10 = scoped.s AND coalesce(m.best, n.name) = scoped.f LEFT JOIN everywhere ON coalesce(m.best, n.name) = everywhere.f)
 """
 
 

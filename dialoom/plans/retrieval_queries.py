@@ -36,7 +36,7 @@ stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
 q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
 post AS (SELECT chunk_id, dl, term, count(*) AS f FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 idf AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), stats),
-bm25 AS (SELECT query_id, chunk_id, sum((idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avgdl)))::DECIMAL(38, 15) * times)::DOUBLE AS score
+bm25 AS (SELECT query_id, chunk_id, sum((idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avgdl)) * times)::DECIMAL(38, 15))::DOUBLE AS score
   FROM post JOIN idf USING (term) JOIN q USING (term), stats WHERE idf > 0 GROUP BY ALL)"""
 DENSE = """v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS vector, label FROM embeddings),
 dense AS (SELECT a.chunk_id AS query_id, b.chunk_id, list_dot_product(b.vector, a.vector) AS score, b.label FROM v a, v b WHERE a.chunk_id % 50 = 0)"""
