@@ -11,8 +11,11 @@ Lists are never expanded into all pairs. Documents with equal shingle sets are o
 start. In each round every list names a few leaders, the rest of the list is compared with them on
 full sets, links are merged into components, and the leaders leave the list. A list ends when its
 documents are all in one component; documents that no leader is linked to go on to the next round,
-where those of the smallest components lead. So each two documents of a list are compared or found
-in one component, and no list or number of partners is capped.
+where those of the smallest components lead. From the second round on, the shingles that only one of
+the documents left has bound every similarity from above: a document with too many of them leaves,
+and pairs with too many are not compared. Once no more documents are left than a documented bound,
+one task compares their full sets and ends the rounds. So each two documents of a list are compared, found in one
+component, or shown to be too far apart, and no list or number of partners is capped.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer
 words than a shingle is one shingle; null ids link with nothing, have a null component and are kept;
@@ -45,9 +48,13 @@ class NearConfig:
     coordinates: int = 32
     rows: int = 3
     least: int = 6
-    #: Leaders of a list in the first round and in later ones.
-    first_leaders: int = 2
-    leaders: int = 8
+    #: Leaders of a list in the first rounds, and in all later ones.
+    leaders: tuple[int, ...] = (2, 8, 32)
+    #: What is left is settled in one task from here on: documents and their shingles at most.
+    last_docs: int = 5_000
+    last_shingles: int = 4_000_000
+    #: Links whose components one task finds; more are joined by stars.
+    last_links: int = 300_000
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -135,11 +142,86 @@ def _sets(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.ListArray.from_arrays(offsets, pa.array(whole.view(np.int64)))], names=["doc", "shingles"])
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) to (doc, comp): the smallest id of each component."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(up, up)
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    docs = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([find(d) for d in docs], pa.int64())], names=["doc", "comp"])
+
+
+def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of the pairs that are similar enough. Rare shingles are counted pair by pair, common ones by matrix products."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, shingle, df = np.unique(np.concatenate(sets) if n else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    both = np.zeros((n, n), dtype=np.float32)
+    np.fill_diagonal(both, sizes)
+    order = np.lexsort((owner, shingle))
+    owner, shingle = owner[order], shingle[order]
+    rare = df[shingle] <= 32
+    o, x = owner[rare], shingle[rare]
+    for step in range(1, 32):  # the pairs of a shingle's documents that stand so many places apart
+        same = np.flatnonzero(x[step:] == x[:-step])
+        if not len(same):
+            break
+        np.add.at(both, (o[same], o[same + step]), 1)
+        np.add.at(both, (o[same + step], o[same]), 1)
+    o, (common, x) = owner[~rare], np.unique(shingle[~rare], return_inverse=True)
+    for start in range(0, len(common), 1024):
+        here = (x >= start) & (x < start + 1024)
+        block = np.zeros((n, 1024), dtype=np.float32)
+        block[o[here], x[here] - start] = 1
+        part = block @ block.T
+        np.fill_diagonal(part, 0)
+        both += part
+    return (both * 100 >= (sizes[:, None] + sizes[None, :] - both) * percent) & (both > 0)
+
+
+def _settle(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.RecordBatch]:
+    """(doc, shingles) to links (a, b) that span the components of all of them."""
+    docs, sets = [], []
+    for batch in batches:
+        docs += batch.column(0).to_pylist()
+        lists = batch.column(1)
+        values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        sets += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    linked = linked_pairs(sets, config.percent)
+    free, a, b = np.ones(len(docs), dtype=bool), [], []
+    for i in range(len(docs)):
+        if free[i]:
+            front = np.zeros(len(docs), dtype=bool)
+            front[i], free[i] = True, False
+            while front.any():
+                front = linked[front].any(axis=0) & free
+                free &= ~front
+                found = np.flatnonzero(front)
+                a += [docs[i]] * len(found)
+                b += [docs[j] for j in found]
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def components(links: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame:
     """(doc, comp) for every document in ``links`` (a, b): the smallest id that it reaches.
 
-    Large and small stars in turn until nothing changes; each step is two aggregations by key.
+    Few links are united in one task. More: large and small stars in turn until nothing changes; each
+    step is two aggregations by key.
     """
+    links = scratch.keep(links.select("a", "b").filter("a <> b"), "links")
+    if links.count() <= config.last_links:
+        return scratch.keep(links.repartition(1).mapInArrow(_unions, "doc long, comp long"), "comps")
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     state = None
     while True:
@@ -179,6 +261,16 @@ def _posts(representatives: DataFrame, config: NearConfig) -> DataFrame:
     return ranked.filter(F.col("rank") <= F.col("all") - (config.least - 1)).select("tok", "doc")
 
 
+def _bounded(labeled: DataFrame, sets: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame:
+    """``labeled`` with n (set size) and u (shingles that no other document of ``labeled`` has), without documents that u keeps from any link."""
+    left = sets.join(labeled.select("doc").distinct(), "doc", "left_semi")
+    own = left.select("doc", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).filter("doc = last")
+    sizes = left.select("doc", F.size("shingles").cast("long").alias("n")).groupBy("doc").agg(F.min("n").alias("n"))
+    counted = sizes.join(own.groupBy("doc").agg(F.count(F.lit(1)).alias("u")), "doc", "left").select("doc", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    open_ = scratch.keep(counted.filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * config.percent), "open")
+    return labeled.join(open_, "doc").select("tok", "doc", "comp", "n", "u")
+
+
 def near_links(representatives: DataFrame, texts: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame:
     """(doc, comp) of the representatives (doc, sig) that are linked with others."""
     spark = representatives.sparkSession
@@ -194,14 +286,24 @@ def near_links(representatives: DataFrame, texts: DataFrame, config: NearConfig,
         labeled = scratch.keep(labeled.join(mixed_lists, "tok"), "labeled")
         if labeled.isEmpty():
             break
-        of_comp = labeled.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("doc").alias("order"), "doc")).alias("lead"))
+        labeled = scratch.keep(_bounded(labeled, sets, config, scratch), "bounded") if turn else labeled.withColumn("n", F.lit(1)).withColumn("u", F.lit(0))
+        old = comps.select(F.col("comp").alias("a"), F.col("doc").alias("b"))
+        if turn:
+            left = labeled.select("doc", "n").distinct()
+            n_docs, n_shingles = left.agg(F.count(F.lit(1)), F.sum("n")).first()
+            if n_docs <= config.last_docs and (n_shingles or 0) <= config.last_shingles:
+                last = sets.join(left, "doc", "left_semi").repartition(1).mapInArrow(lambda b: _settle(b, config), "a long, b long")
+                return components(last.unionByName(old), config, scratch)
+        of_comp = labeled.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("doc").alias("order"), "doc", "n", "u")).alias("lead"))
         place = F.row_number().over(Window.partitionBy("tok").orderBy("size", "lead.order", "lead.doc"))
-        leaders = of_comp.withColumn("place", place).filter(F.col("place") <= (config.leaders if turn else config.first_leaders))
-        leaders = scratch.keep(leaders.select("tok", F.col("lead.doc").alias("lead"), F.col("comp").alias("lead_comp")), "leaders")
-        met = labeled.join(leaders, "tok").filter("comp <> lead_comp")
+        leaders = of_comp.withColumn("place", place).filter(F.col("place") <= config.leaders[min(turn, len(config.leaders) - 1)])
+        leaders = scratch.keep(leaders.select("tok", F.col("lead.doc").alias("lead"), F.col("comp").alias("lead_comp"), F.col("lead.n").alias("ln"), F.col("lead.u").alias("lu")), "leaders")
+        shared = F.least(F.col("n") - F.col("u"), F.col("ln") - F.col("lu"))
+        near = shared * 100 >= (shared + F.col("u") + F.col("lu")) * config.percent
+        met = labeled.join(leaders, "tok").filter((F.col("comp") != F.col("lead_comp")) & near)
         pairs = scratch.keep(met.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct(), "pairs")
         links = _verified(pairs, sets, config)
-        found = components(links.unionByName(comps.select(F.col("comp").alias("a"), F.col("doc").alias("b"))), scratch)
+        found = components(links.unionByName(old), config, scratch)
         rest = labeled.join(leaders.select("tok", F.col("lead").alias("doc")), ["tok", "doc"], "left_anti").select("tok", "doc")
         rest = scratch.keep(rest, "rest")
         for used in (active, labeled, leaders, pairs):
