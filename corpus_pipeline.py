@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dialoom.llm.common import Scratch, read_table
 from dialoom.llm.decontaminate import decontaminate
-from dialoom.llm.minhash import near_dedup
+from dialoom.llm.minhash import NearConfig, near_dedup
 from dialoom.llm.mixing import mix_select
 from dialoom.llm.pii import pii_redact
 from dialoom.llm.quality import quality_filter
 
+#: The stage links from a similarity of 0.80 on; at 4 of 32 coordinates a pair at 0.80 is missed with a chance of about 7e-7.
+NEAR = NearConfig(percent=80, least=4)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the adaptive quality rules go."""
@@ -24,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    return near_dedup(docs)
+    return near_dedup(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -437,6 +437,21 @@ def test_pipeline(spark):
     assert abs(sum(r.mix_taken for r in rows) - size) <= 0.02 * size + 20
 
 
+def test_pipeline_near_stage_links_from_80_percent(spark):
+    import corpus_pipeline
+
+    texts = near_corpus()
+    for n in (48, 49, 55):  # one other word in the middle: similarities 39/49, 40/50 and 46/56
+        w = [f"n{n}x{i}" for i in range(n)]
+        texts += [" ".join(w), " ".join([*w[:20], "other", *w[21:]])]
+    rows = list(enumerate(texts))
+    comp = components({i: shingles(t) for i, t in rows}, 80)
+    last = len(texts) - 6
+    assert [comp[last + i] - last for i in range(6)] == [0, 1, 2, 2, 4, 4]
+    got = corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(comp.values()))
+
+
 def test_registered():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
