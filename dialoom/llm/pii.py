@@ -2,7 +2,9 @@
 
 Native: DataFrame functions only. Every pattern scans a text in linear time: possessive runs and a
 look-behind (or the end of the last match) keep a start inside a run from being tried again, which
-finds the same leftmost matches as the plain pattern.
+finds the same leftmost matches as the plain pattern. Account numbers differ: words and numbers that
+follow one look like its groups, so a run is proposed at each possible start, as far as it may reach,
+and the account number is that part of it, up to the end of a group, which passes the checksum.
 
 Defined cases: a null text counts as empty and has no spans; very long texts are scanned whole; each
 row is judged on its own, so repeated rows get equal results; an empty table gives an empty result;
@@ -52,6 +54,27 @@ def mod97(m: Column) -> Column:
     return let(F.regexp_replace(m, " ", ""), of)
 
 
+#: Characters of an account number by country; those of other countries may have any length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def account(run: Column) -> Column:
+    """The part of a run that is an account number, or null: that of the country's length, or else the longest."""
+
+    def of(groups: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+        bare = lambda x: F.length(F.regexp_replace(x, " ", ""))
+        fits = F.filter(parts, lambda x: F.when(bare(x).between(15, 34) & x.rlike("^[A-Z0-9 ]+$"), mod97(x)).otherwise(F.lit(False)))
+        length = F.try_element_at(F.create_map(*[F.lit(v) for n, names in IBAN_LENGTHS.items() for c in names.split() for v in (c, n)]), F.substr(run, F.lit(1), F.lit(2)))
+        return let(fits, lambda f: F.coalesce(F.get(F.filter(f, lambda x: bare(x) == length), F.lit(0)), F.get(f, F.size(f) - 1)))
+
+    return let(F.split(run, " "), of)
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -64,6 +87,9 @@ class Kind:
     checked: float
     context: str
     base: bool = True
+    #: The part of group 1 that counts, or null; the match itself takes only so many characters, so the next run may overlap.
+    part: object = None
+    head: int = 0
 
 
 KINDS = (
@@ -71,8 +97,8 @@ KINDS = (
     Kind("ip", "(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", lambda t: t.rlike("[0-9]\\.[0-9]"), lambda m: m.rlike(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"), 0.5, 0.2, "ip|host|server|address"),
     Kind("card", "[0-9](?:[\\x20-]?[0-9])++", lambda t: t.rlike("[0-9](?:[\\x20-]?[0-9]){15}"), lambda m: let(_digits(m), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(F.lit(False))), 0.4, 0.4, "card|visa|credit|account"),
     Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(8, 15), 0.6, 0.0, "tel|phone|call|mobile|fax"),
-    Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]"), mod97, 0.4, 0.4, "iban|bank|account", False),
-    Kind("secret", "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}+(?=[\"'\\x20\\n]|$)", lambda t: F.contains(t, F.lit("=")) | F.contains(t, F.lit(":")), lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), 0.3, 0.0, "token|secret|api_?key|passw|auth|bearer", False),
+    Kind("iban", "(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}", lambda t: t.rlike("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]"), lambda m: F.lit(True), 0.4, 0.4, "iban|bank|account", False, account, 4),
+    Kind("secret", "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?=[\"'`\\s.,;:!?)\\]}<>]|$)", lambda t: F.contains(t, F.lit("=")) | F.contains(t, F.lit(":")), lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), 0.3, 0.0, "token|secret|api_?key|passw|auth|bearer", False),
 )
 
 
@@ -86,6 +112,15 @@ class PiiConfig:
     context: float = 0.3
 
 
+def _apart(found: Column) -> Column:
+    """Those with a value that start after the end of the last one taken."""
+
+    def step(a: Column, x: Column) -> Column:
+        return F.when(x["m"].isNotNull() & (x["s"] >= F.coalesce(F.get(a, F.size(a) - 1)["e"], F.lit(0))), F.concat(a, F.array(x))).otherwise(a)
+
+    return F.aggregate(found, F.array().cast(_SPAN), step)
+
+
 def _matches(text: Column, kind: Kind) -> Column:
     """All matches with their places in code points. The pieces between matches give the places."""
     none = F.array().cast(_SPAN)
@@ -95,14 +130,17 @@ def _matches(text: Column, kind: Kind) -> Column:
             def step(a: Column, i: Column) -> Column:
                 start = a["pos"] + F.length(F.get(g, i))
                 end = start + F.length(F.get(m, i))
-                return F.struct(end.cast("int").alias("pos"), F.concat(a["out"], F.array(F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), F.get(m, i).alias("m")))).cast(_SPAN).alias("out"))
+                after = start + kind.head if kind.head else end
+                return F.struct(after.cast("int").alias("pos"), F.concat(a["out"], F.array(F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), F.get(m, i).alias("m")))).cast(_SPAN).alias("out"))
 
             zero = F.struct(F.lit(0).cast("int").alias("pos"), none.alias("out"))
             return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda a: a["out"])
 
         return F.when(F.size(m) == 0, none).otherwise(let(F.split(text, kind.pattern, -1), fold))
 
-    found = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), place)
+    found = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.part else 0)), place)
+    if kind.part:
+        found = _apart(F.transform(found, lambda x: let(kind.part(x["m"]), lambda p: F.struct(x["s"].alias("s"), (x["s"] + F.length(p)).alias("e"), p.alias("m")))))
     return F.when(kind.gate(text), F.filter(found, lambda x: kind.valid(x["m"]))).otherwise(none)
 
 

@@ -185,6 +185,44 @@ def test_pii_more_kinds_and_redaction(spark):
     assert r[0].n_chars == len(r[0].text) and r[1].text is None and r[2].text == "nothing"
 
 
+def accounts(text):
+    """Leftmost account numbers: of all parts from a start that pass, that of the country's length, or else the longest."""
+    out, last = [], 0
+    for m in re.finditer("(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}", text):
+        if m.start() >= last:
+            fits = {}
+            for end in range(m.start() + 15, min(len(text), m.start() + 70) + 1):
+                part, bare = text[m.start() : end], text[m.start() : end].replace(" ", "")
+                if re.fullmatch("[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", part) and not re.match("[A-Za-z0-9]", text[end:]) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                    fits[len(bare)] = end
+            own = {"DE": 22, "GB": 22, "NO": 15, "FR": 27}.get(text[m.start() : m.start() + 2])
+            if fits:
+                last = fits.get(own, fits[max(fits)])
+                out.append(f"iban:{m.start()}:{last}")
+    return out
+
+
+def test_pii_account_numbers_before_words_and_numbers(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    bare = iban.replace(" ", "")
+    fixed = [f"{bare} Please", f"{iban} Bank", "GB82 WEST 1234 5698 7654 32 AND more", f"{iban} 12 euros", f"{iban} {iban}", f"{bare} {bare} {bare}", f"AB12 {iban} X", f"{bare}X", f"{iban}x", f"{bare}\u00e9", "NO93 8601 1117 947 50 EUR"]
+    rng = random.Random(20)
+    parts = [iban, bare, "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "FR14 2004 1010 0505 0001 3M02 606", "XX12", "QQ", " ", " ", " ", " A", "12", "Please", "AND", ",", "\U0001f600", "z"]
+    texts = fixed + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(300)] + ["AB12 " * 500, "AB12" * 20_000]
+    want = [accounts(t) for t in texts]
+    assert all(want[i] for i in (0, 1, 2, 3, 4, 5, 6, 9, 10)) and len(want[5]) == 3
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii.pii_digest(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == want[i], t[:90]
+
+
+def test_pii_long_secrets_and_their_ends(spark):
+    secret = "a1B2" * 75
+    rows = [(i, f"api_key={s}{end}") for i, (s, end) in enumerate([(secret, ""), (secret, "\n"), *((secret[:24], e) for e in (".", ", x", ";", ")", "]", "}", ":", "!", "?", "`", "\t", "\r\n", "<b>"))])]
+    got = {r.doc_id: r.text for r in pii.pii_redact(docs(spark, rows)).collect()}
+    assert got == {i: "api_key=[SECRET]" + t[8:].lstrip("a1B2") for i, t in rows}
+
+
 # --- 4 urls
 
 
