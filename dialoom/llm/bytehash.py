@@ -1,13 +1,9 @@
-"""Vectorised polynomial hashing of byte ranges, for batches of texts.
-
-Bytes are replaced by fixed random 64-bit numbers; the hash of a range is the polynomial in an odd
-base modulo 2**64, brought to the range's start by the base's inverse powers, so equal ranges have
-equal hashes wherever they stand.
-"""
+"""Vectorised hashing for batches of texts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -15,9 +11,6 @@ from .common import ship_by_value
 
 ship_by_value(__name__)
 
-BASE = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
-
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser (splitmix64)."""
@@ -32,35 +25,32 @@ def numbers(n: int, seed: int) -> np.ndarray:
     return mixed(np.arange(n, dtype=np.uint64) + np.uint64(seed << 20)) | np.uint64(1)
 
 
-class Powers:
-    """Powers of the base and of its inverse, grown when a longer text comes."""
-
-    def __init__(self) -> None:
-        self.n = 0
-
-    def upto(self, n: int) -> None:
-        if n > self.n:
-            n = max(n, 1 << 16)
-            self.up, self.down, self.n = self._of(BASE, n), self._of(pow(BASE, -1, 1 << 64), n), n
-
-    @staticmethod
-    def _of(base: int, n: int) -> np.ndarray:
-        out = np.ones(n, dtype=np.uint64)
-        out[1:] = np.uint64(base)
-        return np.multiply.accumulate(out)
-
-
-class Hashed:
-    """Prefix sums over one block of bytes; ``of`` hashes ranges [start, end)."""
-
-    def __init__(self, data: np.ndarray, powers: Powers, table: np.ndarray) -> None:
-        powers.upto(len(data) + 1)
-        self.powers = powers
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(table[data] * powers.up[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.powers.down[start])
+_LOW = (np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)) - np.uint64(1)
+#: Longer ranges get a cryptographic hash one by one.
+_LONG = 256
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end): eight bytes at a time go into a bijective mixer, which begins with the length.
+
+    So ranges of one to eight bytes never collide with others of their length, and longer ones by chance alone.
+    """
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    size = ends - starts
+    out = mixed(size.astype(np.uint64))
+    todo, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(todo):
+        value = eight[starts[todo] + at]
+        rest = size[todo] - at
+        part = rest < 8
+        value[part] &= _LOW[rest[part]]
+        out[todo] = mixed(out[todo] ^ value)
+        at += 8
+        todo = todo[rest > 8]
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def blocks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:

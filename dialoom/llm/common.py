@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +55,7 @@ class Scratch:
 
     ``keep`` writes a table and reads it again: the result has known sizes (so that Catalyst
     broadcasts it only below its own threshold) and survives the loss of executors.
-    ``drop`` deletes a table that nothing reads any more.
+    ``drop`` deletes a table that nothing reads any more. The folder goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -62,6 +63,11 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/dialoom-{name}-{uuid.uuid4().hex}"
         self._count = 0
         self._made: list[tuple[DataFrame, str]] = []
+        self._path(self.base, lambda fs, path: fs.deleteOnExit(path))
+
+    def _path(self, name: str, act: Callable[[Any, Any], object]) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        act(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         self._count += 1
@@ -71,12 +77,29 @@ class Scratch:
         self._made.append((table, path))
         return table
 
-    def drop(self, table: DataFrame) -> None:
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables, of those that ``keep`` made."""
         for kept, path in self._made:
-            if kept is table:
-                where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        self._made = [x for x in self._made if x[0] is not table]
+            if any(kept is t for t in tables):
+                self._path(path, lambda fs, where: fs.delete(where, True))
+        self._made = [x for x in self._made if not any(x[0] is t for t in tables)]
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        self.drop(*[t for t, _ in self._made if not any(t is x for x in tables)])
+
+    def feeds(self, frame: DataFrame) -> bool:
+        """Whether the frame still reads tables of this folder."""
+        leaves = frame._jdf.queryExecution().analyzed().collectLeaves()
+        for leaf in map(leaves.apply, range(leaves.size())):
+            if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+                if self.base.split(":", 1)[-1] in leaf.relation().location().rootPaths().mkString(","):
+                    return True
+        return False
+
+    def close(self) -> None:
+        """Deletes the folder. What was made of its tables can't be read any more."""
+        self._path(self.base, lambda fs, where: fs.delete(where, True))
+        self._made = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

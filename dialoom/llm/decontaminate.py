@@ -113,9 +113,11 @@ def overlap_digest(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = S
     return overlaps(docs, benchmark, config).select(F.col("key").alias("doc_id"), "item_id", "n_equal", "n_hits")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = SeedConfig()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = SeedConfig(), scratch: Scratch | None = None) -> DataFrame:
     """The documents that overlap with no item. Overlap is a matter of the text, so texts are matched by digest."""
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    digest = F.sha2(F.col("text"), 256)
-    found = scratch.keep(overlaps(docs, benchmark, config, scratch, digest).select(F.col("key").alias("_digest")).distinct(), "found")
-    return docs.withColumn("_digest", digest).join(found, "_digest", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
+    found = overlaps(docs, benchmark, config, scratch, F.sha2(F.col("text"), 256)).select(F.col("key").alias("_digest")).distinct()
+    found = scratch.keep(found, "found")
+    scratch.drop_but(found)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(found, F.sha2(F.col("_row.text"), 256) == F.col("_digest"), "left_anti").select("_row.*")

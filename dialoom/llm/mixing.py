@@ -69,7 +69,9 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), scratch: Scratch | Non
     sized = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), "source", "text", counted.alias("_n"))
     key = -F.log(uniform(F.col("_id"), config.seed)) / quality_weight(F.col("text"), F.col("_n.chars"))
     sized = sized.select("_row", "_id", group_key(F.col("source")).alias("_src"), "source", F.col("_n.n").alias("size"), key.alias("_key"))
-    sized = scratch.keep(sized.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * config.buckets)), "sized")
+    sized = sized.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * config.buckets))
+    if carry:  # few columns are kept; whole rows are sized again rather than copied
+        sized = scratch.keep(sized, "sized")
 
     sums = scratch.keep(sized.groupBy("_src", "source", "_bucket").agg(F.sum("size").alias("size")), "sums")
     targets = source_targets(sums.groupBy("_src", "source").agg(F.sum("size").alias("source_size")), config)
@@ -95,7 +97,8 @@ def mix_digest(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     return mix(docs, config, carry=["doc_id"]).select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-def mix_select(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """The documents that the mix takes, with mix_size, mix_target and mix_taken."""
-    mixed = mix(docs, config).filter("taken > 0")
-    return mixed.select("_row.*", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
+def mix_select(docs: DataFrame, config: MixConfig = MixConfig(), scratch: Scratch | None = None) -> DataFrame:
+    """The documents that the mix takes, with mix_size, mix_target and mix_taken; input columns of these names are replaced."""
+    mixed = mix(docs, config, scratch).filter("taken > 0")
+    made = {"mix_size": "size", "mix_target": "target", "mix_taken": "taken"}
+    return mixed.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in made], *[F.col(c).alias(n) for n, c in made.items()])

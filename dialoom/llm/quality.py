@@ -143,9 +143,9 @@ def judge(docs: DataFrame, config: QualityConfig = QualityConfig(), scratch: Scr
     return measured.join(fences, "_group", "left").select("_row", "_q", failed.alias("base_failed"), (~failed & ~F.coalesce(over, F.lit(False))).alias("kept"))
 
 
-def quality_filter(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+def quality_filter(docs: DataFrame, config: QualityConfig = QualityConfig(), scratch: Scratch | None = None) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    return judge(docs, config).filter("kept").select("_row.*")
+    return judge(docs, config, scratch).filter("kept").select("_row.*")
 
 
 def quality_digest(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:

@@ -339,15 +339,34 @@ def near_corpus():
     return texts + ["One TWO three", "one two  three", "", texts[0].upper()]
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("config", [{}, {"leaders": (), "block": 7, "reach": 11}, {"leaders": (1,), "small": 3, "block": 2, "block_shingles": 300, "last_links": -1}, {"leaders": (1, 1), "small": 5, "reach": 3}])
+def test_near_duplicates_equal_brute_force(spark, config):
+    config = minhash.NearConfig(**config)
     texts = near_corpus()
     want = components({i: shingles(t) for i, t in enumerate(texts)})
     rows = list(enumerate(texts))
     random.Random(1).shuffle(rows)
-    got = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, rows), config).collect()}
     assert {i: r.component_id for i, r in got.items()} == want
     assert all(r.n_shingles == len(shingles(texts[i])) and r.kept == (want[i] == i) for i, r in got.items())
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    texts = near_corpus()
+    rows, want = list(enumerate(texts)), components({i: shingles(t) for i, t in enumerate(texts)})
     assert sorted(r.doc_id for r in minhash.near_dedup(docs(spark, rows, CLASHES)).collect()) == sorted(set(want.values()))
+    twice = [(1, "a b"), (1, "a b"), (2, "c"), (None, "d"), (None, "d")]
+    for order in (1, 7):
+        assert sorted((r.doc_id or 0, r.text) for r in minhash.near_dedup(docs(spark, twice, CLASHES).repartition(order)).collect()) == [(0, "d"), (0, "d"), (1, "a b"), (2, "c")]
+
+
+def test_near_words_of_regular_structure_stay_apart(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        if len(word) >= 1024:
+            rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, "x " + word), (4, "x " + word.translate(str.maketrans("ab", "ba")))]
+            assert [r.component_id for r in minhash.near_duplicates(docs(spark, rows)).orderBy("doc_id").collect()] == [1, 2, 3, 4]
 
 
 # --- 8 repeats
@@ -369,8 +388,8 @@ def removed(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("contexts", [20_000, 1])
-def test_repeats_equal_brute_force(spark, contexts):
+@pytest.mark.parametrize("config", [{}, {"contexts": 1}, {"hot": 1, "share": 1.0}, {"hot": 2, "share": 0.5, "combine": 50}, {"combine": 1, "gram": 8}])
+def test_repeats_equal_brute_force(spark, config):
     texts, rng = corpus(13, 40, 80)
     passages = [" ".join(f"é{rng.randrange(99)}" for _ in range(40)) for _ in range(4)]
     made = []
@@ -378,9 +397,10 @@ def test_repeats_equal_brute_force(spark, contexts):
         k = rng.randrange(len(t))
         p = rng.choice(passages)
         made.append(t[:k] + p[rng.randrange(30) :] + t[k:] if rng.random() < 0.7 else t)
-    made += [made[3], made[3] + made[5], "ab" * 400, "x" * 99, "x" * 100, "x" * 250, None, "", passages[0] * 3]
+    zeros = ["\0" * n + "q" * (150 - n) + "\0" * 90 for n in (0, 1, 60, 99, 149)]  # padding must not look like these
+    made += [*zeros, made[3], made[3] + made[5], "ab" * 400, "x" * 99, "x" * 100, "x" * 250, None, "", passages[0] * 3]
     rows = list(enumerate(made))
-    got = {r.doc_id: tuple(r)[1:5] for r in repeats.remove_repeats(docs(spark, rows).repartition(5), repeats.RepeatConfig(contexts=contexts)).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in repeats.remove_repeats(docs(spark, rows).repartition(5), repeats.RepeatConfig(**config)).collect()}
     assert got == removed(rows)
 
 
@@ -389,10 +409,10 @@ def test_repeats_of_long_texts():
     half = bytes(rng.choices(b"abcdef ", k=3000))
     old, repeats._PIECE, repeats._BLOCK = (repeats._PIECE, repeats._BLOCK), 700, 900
     try:
-        found = [x for b in repeats.pieces([half * 2, half], 100) for x in zip(*repeats.contexts(b, repeats.RepeatConfig(), repeats.Powers()), strict=True)]
+        found = [x for b in repeats.pieces([half * 2, half], 100) for x in zip(*repeats.contexts(b, repeats.RepeatConfig()), strict=True)]
     finally:
         repeats._PIECE, repeats._BLOCK = old
-    windows = sorted((n, s + k) for n, s, m, _, _ in found for k in range(m))
+    windows = sorted((n, s + k) for n, s, m, *_ in found for k in range(m))
     assert windows == [(0, k) for k in range(5901)] + [(1, k) for k in range(2901)]
 
 
