@@ -14,11 +14,14 @@ coordinate, so a count is never too small).
 Lists are never expanded into all pairs, and none is capped. Documents with equal shingle sets are one
 class from the start. In the first round every list names two leaders; the rest of the list is counted
 against them, what is retained is verified, and links are merged into components. A list whose
-documents are all in one component is done, and so are its leaders. Of the others, a list of at most
-``small`` documents then compares all its pairs from different components; a longer one names 8, then
-32 leaders from its smallest components, and what it still has is compared in blocks: the documents
-outside its largest component, in blocks of bounded size, against all of its documents. After that
-each two documents of a list were compared or are in one component, so four rounds do at any size.
+documents are all in one component is done, and so are its leaders. In the documents of the others,
+shingles that only one of them has bound every similarity from above: a document with too many leaves,
+and pairs with too many are passed over. Then a list of at most ``small`` documents compares all its
+pairs from different components; a longer one names 8, then 32 leaders from its smallest components,
+and what it still has is compared in blocks: the documents outside its largest component, in blocks of
+bounded size, against all of its documents. Lists that overlap so much that their union takes fewer
+comparisons than they do are compared as one. After that each two documents of a list were compared, are
+in one component or too far apart, so four rounds do at any size.
 Verification streams the sets of the one side past an index of the other's, dealt by leader and salt
 (or block), so that no leader, list or component meets in one task.
 
@@ -65,7 +68,7 @@ class NearConfig:
     #: Documents of a block, shingles of a block, and documents that one task compares with it.
     block: int = 256
     block_shingles: int = 500_000
-    reach: int = 4096
+    reach: int = 512
     #: Links whose components one task finds; more are joined by stars.
     last_links: int = 300_000
 
@@ -173,18 +176,20 @@ def _counted(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[
 
 
 def _paired(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.RecordBatch]:
-    """Rows (tok, doc, comp, low) sorted by tok, of short lists, to the pairs with enough collisions and different components."""
+    """Rows (tok, doc, comp, low, size, own) sorted by tok, of short lists, to the pairs with enough collisions, different components and few enough shingles of their own."""
     held: pa.Table | None = None
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         tok, doc, comp = (table.column(i).to_numpy() for i in range(3))
         low = _matrix(table.column(3), config.coordinates)
+        size, own = (table.column(i).to_numpy() for i in (4, 5))
         edges = np.concatenate(([0], np.flatnonzero(tok[1:] != tok[:-1]) + 1, [len(tok)]))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             i, j = np.triu_indices(b - a, 1)
             i, j = i + a, j + a
-            apart = comp[i] != comp[j]
-            i, j = i[apart], j[apart]
+            most = np.minimum((size - own)[i], (size - own)[j])
+            open_ = (comp[i] != comp[j]) & (most * 100 >= (size[i] + size[j] - most) * config.percent)
+            i, j = i[open_], j[open_]
             near = (low[i] == low[j]).sum(axis=1) >= config.least
             i, j = i[near], j[near]
             swap = doc[i] > doc[j]
@@ -363,10 +368,22 @@ def _compared(rows: DataFrame, sets: DataFrame, config: NearConfig) -> DataFrame
     return full.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "side").mapInArrow(lambda b: _against(b, config), "a long, b long")
 
 
+def _joined(labeled: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame:
+    """Rows (tok, doc, comp, size) of long lists, with each set of connected lists made one where that takes fewer comparisons."""
+    heads = labeled.groupBy("tok").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n"))
+    net = components(labeled.join(heads, "tok").select(F.col("doc").alias("a"), F.col("head").alias("b")), config, scratch)
+    of_doc = labeled.select("doc").distinct().join(net.withColumnRenamed("comp", "net"), "doc", "left").select("doc", F.coalesce("net", "doc").alias("net"))
+    of_doc = scratch.keep(of_doc, "nets")
+    apart = heads.join(of_doc, F.col("head") == F.col("doc")).groupBy("net").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    cheaper = of_doc.groupBy("net").agg(F.count(F.lit(1)).cast("double").alias("d")).join(apart, "net").filter("d * d <= apart").select("net", F.lit(True).alias("one"))
+    named = labeled.join(of_doc, "doc").join(cheaper, "net", "left")
+    tok = F.when(F.coalesce("one", F.lit(False)), F.xxhash64(F.lit("net"), "net")).otherwise(F.col("tok"))
+    return scratch.keep(named.select(tok.alias("tok"), "doc", "comp", "size").distinct(), "joined")
+
+
 def _in_blocks(labeled: DataFrame, sets: DataFrame, config: NearConfig) -> DataFrame:
-    """Links of lists (tok, doc, comp): the documents outside a list's largest component, in blocks, against all its documents."""
-    sized = labeled.join(sets.select("doc", F.size("shingles").cast("long").alias("size")), "doc")
-    of_comp = sized.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    """Links of lists (tok, doc, comp, size): the documents outside a list's largest component, in blocks, against all its documents."""
+    of_comp = labeled.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     lists = of_comp.groupBy("tok").agg(F.sum("n").alias("all"), F.sum("size").alias("all_size"), F.max(F.struct("n", "size", "comp")).alias("main"))
     blocks_ = F.greatest(F.ceil((F.col("all") - F.col("main.n")) / config.block), F.ceil((F.col("all_size") - F.col("main.size")) / config.block_shingles), F.lit(1))
     plan = lists.select("tok", F.col("main.comp").alias("main"), blocks_.cast("long").alias("nq"), F.ceil(F.col("all") / config.reach).cast("long").alias("nd"))
@@ -379,6 +396,14 @@ def _in_blocks(labeled: DataFrame, sets: DataFrame, config: NearConfig) -> DataF
     return _compared(ask.unionByName(all_), sets, config)
 
 
+def _bounds(labeled: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc, size, own): the shingles of each document of ``labeled``, and how many of them no other of these documents has."""
+    left = sets.join(labeled.select("doc").distinct(), "doc", "left_semi")
+    single = left.select("doc", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).filter("doc = last")
+    sizes = left.groupBy("doc").agg(F.max(F.size("shingles")).cast("long").alias("size"))
+    return sizes.join(single.groupBy("doc").agg(F.count(F.lit(1)).alias("own")), "doc", "left").select("doc", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def near_links(heads: DataFrame, texts: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame:
     """(doc, comp) of the representatives (doc, sig) that are linked with others."""
     active = postings(heads, config, scratch)
@@ -387,30 +412,40 @@ def near_links(heads: DataFrame, texts: DataFrame, config: NearConfig, scratch:
     sets = scratch.keep(chosen.mapInArrow(lambda b: _sets(b, config), "doc long, shingles array<long>"), "sets")
     scratch.drop(wanted)
     comps = heads.sparkSession.createDataFrame([], "doc long, comp long")
-    for turn in range(len(config.leaders) + 1):
-        labeled = active.join(comps, "doc", "left").select("tok", "doc", "low", F.coalesce("comp", "doc").alias("comp"))
-        lists = labeled.groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        labeled = scratch.keep(labeled.join(lists.select("tok", "n"), "tok"), "labeled")
+    last = len(config.leaders)
+    for turn in range(last + 1):
+        labeled = active.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        lists = labeled.groupBy("tok").agg(F.count(F.lit(1)).alias("many"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        labeled = scratch.keep(labeled.join(lists.select("tok", "many"), "tok"), "labeled")
         scratch.drop(active)
         if labeled.isEmpty():
             break
+        if turn == min(1, last):
+            bounds = scratch.keep(_bounds(labeled, sets).filter((F.col("size") - F.col("own")) * 100 >= F.col("size") * config.percent), "bounds")
+            bounded = scratch.keep(labeled.join(bounds, "doc"), "bounded")
+            scratch.drop(labeled, bounds)
+            labeled = bounded
         links = comps.select(F.col("comp").alias("a"), F.col("doc").alias("b"))
-        pairs, long, rest = None, labeled.drop("n"), None
+        pairs, long, rest = None, labeled, None
         if turn:
-            long = labeled.filter(F.col("n") > config.small).drop("n")
-            few = labeled.filter(F.col("n") <= config.small).select("tok", "doc", "comp", "low").repartition("tok").sortWithinPartitions("tok")
+            long = labeled.filter(F.col("many") > config.small)
+            few = labeled.filter(F.col("many") <= config.small).select("tok", "doc", "comp", "low", "size", "own").repartition("tok").sortWithinPartitions("tok")
             pairs = few.mapInArrow(lambda b: _paired(b, config), "lead long, doc long, lead_comp long, comp long")
-        if turn < len(config.leaders):
-            of_comp = long.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("doc").alias("order"), "doc", "low")).alias("lead"))
-            place = F.row_number().over(Window.partitionBy("tok").orderBy("size", "lead.order", "lead.doc"))
+        if turn < last:
+            known = [c for c in ("size", "own") if c in labeled.columns]
+            of_comp = long.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc").alias("order"), "doc", "low", *known)).alias("lead"))
+            place = F.row_number().over(Window.partitionBy("tok").orderBy("n", "lead.order", "lead.doc"))
             leaders = of_comp.withColumn("place", place).filter(F.col("place") <= config.leaders[turn])
-            leaders = scratch.keep(leaders.select("tok", F.col("lead.doc").alias("lead"), F.col("lead.low").alias("lead_low"), F.col("comp").alias("lead_comp")), "leaders")
-            met = long.join(leaders, "tok").filter("comp <> lead_comp").select("lead", "doc", "lead_low", "low", "lead_comp", "comp")
-            met = met.mapInArrow(lambda b: _counted(b, config), "lead long, doc long, lead_comp long, comp long")
+            leaders = scratch.keep(leaders.select("tok", F.col("lead.doc").alias("lead"), F.col("lead.low").alias("lead_low"), F.col("comp").alias("lead_comp"), *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in known]), "leaders")
+            met = long.join(leaders, "tok").filter("comp <> lead_comp")
+            if known:
+                most = F.least(F.col("size") - F.col("own"), F.col("lead_size") - F.col("lead_own"))
+                met = met.filter(most * 100 >= (F.col("size") + F.col("lead_size") - most) * config.percent)
+            met = met.select("lead", "doc", "lead_low", "low", "lead_comp", "comp").mapInArrow(lambda b: _counted(b, config), "lead long, doc long, lead_comp long, comp long")
             pairs = met if pairs is None else pairs.unionByName(met)
-            rest = scratch.keep(long.join(leaders.select("tok", F.col("lead").alias("doc")), ["tok", "doc"], "left_anti").select("tok", "doc", "low"), "rest")
+            rest = scratch.keep(long.join(leaders.select("tok", F.col("lead").alias("doc")), ["tok", "doc"], "left_anti").select("tok", "doc", "low", *known), "rest")
         else:
-            links = links.unionByName(_in_blocks(long, sets, config))
+            links = links.unionByName(_in_blocks(_joined(long, config, scratch), sets, config))
         if pairs is not None:
             links = links.unionByName(_verified(pairs, sets, config, scratch))
         found = components(links, config, scratch)

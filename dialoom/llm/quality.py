@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Signals are shares of a text in thousandths, so a sketch of a group is a histogram over
-0..1000: it merges by adding counts (order never matters), its size is bounded, and its
-quantiles are exact to one thousandth. Thresholds are upper fences of each (language, source)
-group, taken from sketches that merge upwards (language, then all) where a group is small.
+Signals are shares of a text. The sketch of a signal in a group is a DDSketch (Masson, Rim and Lee):
+counts by the logarithm of the value to the base (1 + a) / (1 - a), so any quantile comes within the
+share a of the true one. Sketches merge by adding counts, so order and partitions never matter, and
+have at most some 1,500 counts, because a share is 0 or at least one over a text's length. Thresholds
+are upper fences of each (language, source) group, from sketches that merge upwards (language, then
+all) where a group is small.
 
 Native: DataFrame functions only.
 
@@ -14,18 +16,21 @@ of the input are never touched (signals live in one struct column).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import SPACES, Scratch, group_key, let, words
 
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """Fence = q(high) + spread * max(q(high) - q(low), floor of the signal), all in thousandths."""
+    """Fence = q(high) + spread * max(q(high) - q(low), floor of the signal)."""
+
+    #: Relative accuracy of the sketches.
+    accuracy: float = 0.01
 
     low: float = 0.25
     high: float = 0.75
@@ -35,7 +40,10 @@ class QualityConfig:
     min_words: int = 50
     max_repeat_percent: int = 50
     #: Signal: least spread.
-    floors: tuple[tuple[str, int], ...] = (("symbols", 20), ("dup_lines", 200), ("repeats", 100), ("capitals", 40))
+    floors: tuple[tuple[str, float], ...] = (("symbols", 0.02), ("dup_lines", 0.2), ("repeats", 0.1), ("capitals", 0.04))
+
+    def base(self) -> float:
+        return (1 + self.accuracy) / (1 - self.accuracy)
 
 
 def _repeat_words(w: Column) -> Column:
@@ -82,7 +90,7 @@ def features(text: Column) -> Column:
 
 
 def signals(q: Column) -> dict[str, Column]:
-    share = lambda a, b: F.least(F.lit(1000), F.floor(a * 1000 / F.greatest(b, F.lit(1)))).cast("int")
+    share = lambda a, b: F.least(F.lit(1.0), a.cast("double") / F.greatest(b, F.lit(1)).cast("double"))
     return {
         "symbols": share(q["n_symbols"], q["word_chars"]),
         "dup_lines": share(q["lines"]["dup"], q["lines"]["n"]),
@@ -95,9 +103,23 @@ def base_failed(q: Column, config: QualityConfig) -> Column:
     return (q["n_words"] < config.min_words) | (q["n_repeat_words"] * 100 > q["n_words"] * config.max_repeat_percent)
 
 
-def sketches(measured: DataFrame, names: list[str]) -> DataFrame:
+#: The bin of the value 0.
+ZERO = -(1 << 30)
+
+
+def bin_of(value: Column, config: QualityConfig) -> Column:
+    """The sketch's bin: base ** (bin - 1) < value <= base ** bin (up to rounding)."""
+    return F.when(value <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log(value) / F.lit(math.log(config.base())) - F.lit(1e-9)).cast("int"))
+
+
+def value_of(at: Column, config: QualityConfig) -> Column:
+    """What stands for the values of a bin: within the accuracy of each."""
+    return F.when(at == ZERO, F.lit(0.0)).otherwise(F.lit(2 / (config.base() + 1)) * F.pow(F.lit(config.base()), at))
+
+
+def sketches(measured: DataFrame, names: list[str], config: QualityConfig) -> DataFrame:
     """One row per (language, source, signal, bin) with its count: the mergeable sketches."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col("_s")[n].alias("bin")) for n in names]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), bin_of(F.col("_s")[n], config).alias("bin")) for n in names]))
     return measured.select("_lang", "_group", pairs.alias("p")).groupBy("_lang", "_group", "p.signal", "p.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -106,10 +128,15 @@ def thresholds(sketch: DataFrame, config: QualityConfig) -> DataFrame:
 
     def fences(at: list[str], tag: str) -> DataFrame:
         merged = sketch.groupBy(*at, "signal", "bin").agg(F.sum("n").alias("n"))
-        by = Window.partitionBy(*at, "signal")
-        ranked = merged.withColumn("below", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-        q = lambda p: F.min(F.when(F.col("below") >= F.ceil(F.col("all") * p), F.col("bin")))
-        made = ranked.groupBy(*at, "signal").agg(q(config.low).alias("lo"), q(config.high).alias("hi"), F.max("all").alias("docs"))
+        whole = merged.groupBy(*at, "signal").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("docs"))
+
+        def quantile(p: float) -> Column:
+            """The bin where the counts come to the share p."""
+            need = F.ceil(F.col("docs") * p)
+            step = lambda a, x: F.struct((a["below"] + x["n"]).alias("below"), F.coalesce(a["bin"], F.when(a["below"] + x["n"] >= need, x["bin"])).alias("bin"))
+            return F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("int").alias("bin")), step, lambda a: a["bin"])
+
+        made = whole.select(*at, "signal", "docs", value_of(quantile(config.low), config).alias("lo"), value_of(quantile(config.high), config).alias("hi"))
         floor = F.coalesce(*[F.when(F.col("signal") == n, F.lit(v)) for n, v in config.floors])
         fence = F.col("hi") + F.lit(config.spread) * F.greatest(F.col("hi") - F.col("lo"), floor)
         return made.groupBy(*at).agg(*[F.max(F.when(F.col("signal") == n, fence)).alias(n) for n, _ in config.floors], F.max("docs").alias("docs")).select(
@@ -135,7 +162,7 @@ def judge(docs: DataFrame, config: QualityConfig = QualityConfig(), scratch: Scr
     measured = docs.select(row.alias("_row"), group_key(F.col("lang")).alias("_lang"), group_key(F.col("lang"), F.col("source")).alias("_group"), features(F.col("text")).alias("_q"))
     measured = measured.withColumn("_s", F.struct(*[c.alias(n) for n, c in signals(F.col("_q")).items()]))
     measured = scratch.keep(measured, "measured")
-    fences = scratch.keep(thresholds(sketches(measured, names), config).repartition(1), "fences")
+    fences = scratch.keep(thresholds(sketches(measured, names, config), config).repartition(1), "fences")
     failed = base_failed(F.col("_q"), config)
     over = F.lit(False)
     for n in names:

@@ -54,10 +54,12 @@ class RepeatConfig:
     contexts: int = 20_000
     #: Rows that a task combines before they are shuffled.
     combine: int = 500_000
-    #: Documents that are sampled for hot grams (more with many shuffle partitions), at most so large a share, and contexts in the sample from which a gram is hot.
+    #: Documents that are sampled for hot grams (more with many shuffle partitions), and at most so large a share.
     sample: int = 10_000
     share: float = 0.25
+    #: A gram is hot from so many contexts in the sample on, and this share of an average partition.
     hot: int = 16
+    even: float = 0.5
 
 
 #: Window starts of a piece of a text (a longer text is cut into pieces that overlap), and of a block.
@@ -312,8 +314,9 @@ def _compare(batches: Iterator[pa.RecordBatch], config: RepeatConfig) -> Iterato
         yield _batch("doc start n", d, s, e - s)
 
 
-def _spread(batches: Iterator[pa.RecordBatch], config: RepeatConfig) -> Iterator[pa.RecordBatch]:
-    """Rows (g, doc, start, before, context) to all their windows (g, window, doc, start)."""
+def _windows(batches: Iterator[pa.RecordBatch], config: RepeatConfig) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows (g, doc, start, before, context) to gram, fingerprint, document and start of all their windows, in pieces of ``combine`` rows or more."""
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         if batch.num_rows:
             g, doc, start = (batch.column(i).to_numpy() for i in range(3))
@@ -324,16 +327,35 @@ def _spread(batches: Iterator[pa.RecordBatch], config: RepeatConfig) -> Iterator
             within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             begin = at[of] + within
             window = range_hashes(np.frombuffer(b"".join(context), dtype=np.uint8), begin, begin + config.length)
-            yield _batch("g window doc start", g[of], window, doc[of], start[of] + within)
+            held.append((g[of], window.view(np.int64), doc[of], start[of] + within))
+            if sum(len(x[0]) for x in held) >= config.combine:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _spread(batches: Iterator[pa.RecordBatch], config: RepeatConfig) -> Iterator[pa.RecordBatch]:
+    """Rows (g, doc, start, before, context) to (g, window, doc, start, n): the first of each window within the task's rows (n: 0), and ranges that repeat in them."""
+    for g, window, doc, start in _windows(batches, config):
+        order = np.lexsort((start, doc, window, g))
+        g, window, doc, start = (x[order] for x in (g, window, doc, start))
+        new, dup = later([g, window], doc, start)
+        yield _batch("g window doc start n", g[new], window[new], doc[new], start[new], np.zeros(new.sum(), dtype=np.int64))
+        d, s, e = merged(doc[dup], start[dup], start[dup] + config.length)
+        none = np.zeros(len(d), dtype=np.int64)
+        yield _batch("g window doc start n", none, none, d, s, e - s)
 
 
 def hot_grams(texts: DataFrame, config: RepeatConfig) -> np.ndarray:
-    """Grams with ``hot`` or more contexts in a sample of the documents: they are dealt otherwise, with the same result. At most a row for each ``hot`` of the sample's."""
-    want = max(config.sample, 100 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    share = min(config.share, want / max(1, texts.count()))
+    """Grams that would crowd a partition, by a sample of the documents: they are dealt otherwise, with the same result. At most two for each partition."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(config.share, max(config.sample, 100 * partitions) / max(1, texts.count()))
     seen = texts.sample(share, seed=1).mapInArrow(lambda b: _grams(b, config), "g long, c long")
-    found = seen.groupBy("g").agg(F.count_distinct("c").alias("n")).filter(F.col("n") >= config.hot).select("g").collect()
-    return np.array(sorted(r["g"] for r in found), dtype=np.int64).view(np.uint64)
+    counts = seen.groupBy("g").agg(F.count_distinct("c").alias("n"))
+    told = counts.agg(F.sum("n").alias("all"), F.collect_list(F.when(F.col("n") >= config.hot, F.struct("g", "n"))).alias("found")).first()
+    least = (told["all"] or 0) * config.even / partitions
+    return np.array(sorted(r["g"] for r in told["found"] if r["n"] >= least), dtype=np.int64).view(np.uint64)
 
 
 def repeated_ranges(docs: DataFrame, config: RepeatConfig, scratch: Scratch) -> DataFrame:
@@ -351,10 +373,11 @@ def repeated_ranges(docs: DataFrame, config: RepeatConfig, scratch: Scratch) ->
     few = cut.join(many, "g", "left_anti").select(rows).repartition("g").sortWithinPartitions("g")
     ranges = found.filter(F.col("kind") == DUP).select("doc", "start", F.col("size").alias("n")).unionByName(few.mapInArrow(lambda b: _compare(b, config), "doc long, start long, n long"))
     if not many.isEmpty():
-        spread = scratch.keep(cut.join(many, "g", "left_semi").select(rows).mapInArrow(lambda b: _spread(b, config), "g long, window long, doc long, start long"), "spread")
-        first = spread.groupBy("g", "window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        beyond = spread.join(first, ["g", "window"]).filter(F.struct("doc", "start") > F.col("first"))
-        ranges = ranges.unionByName(beyond.select("doc", "start", F.lit(config.length).cast("long").alias("n")))
+        spread = cut.join(many, "g", "left_semi").select(rows).mapInArrow(lambda b: _spread(b, config), "g long, window long, doc long, start long, n long")
+        spread = scratch.keep(spread, "spread")
+        first = spread.filter("n = 0").groupBy("g", "window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+        beyond = spread.filter("n = 0").join(first, ["g", "window"]).filter(F.struct("doc", "start") > F.col("first"))
+        ranges = ranges.unionByName(spread.filter("n > 0").select("doc", "start", "n")).unionByName(beyond.select("doc", "start", F.lit(config.length).cast("long").alias("n")))
     out = scratch.keep(ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "ranges")
     scratch.drop_but(out)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from .common import LOWER, UPPER
 from .mixing import MixConfig
 from .quality import QualityConfig
@@ -37,11 +39,14 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 
 def quality(config: QualityConfig = QualityConfig()) -> str:
+    """Sketches as lists of bins: the bin at a rank is that of the value at it."""
     names = [n for n, _ in config.floors]
-    share = "least(1000, floor({} * 1000::DOUBLE / greatest({}, 1)))::INT AS {}"
+    share = "least(1.0::DOUBLE, {}::DOUBLE / greatest({}, 1)::DOUBLE) AS {}"
     signals = ", ".join(share.format(a, b, n) for n, (a, b) in zip(names, (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_capitals", "word_chars")), strict=True))
-    at = lambda n, p: f"list_sort(list({n}))[ceil(count(*) * {p}::DOUBLE)::BIGINT]"
-    fence = ", ".join(f"{at(n, config.high)} + {config.spread}::DOUBLE * greatest({at(n, config.high)} - {at(n, config.low)}, {v}) AS {n}" for n, v in config.floors)
+    bins = ", ".join(f"CASE WHEN {n} <= 0 THEN -1073741824 ELSE ceil(ln({n}) / {math.log(config.base())!r}::DOUBLE - 1e-9::DOUBLE)::INT END AS {n}_bin" for n in names)
+    bin_at = lambda n, p: f"list_sort(list({n}_bin))[ceil(count(*) * {p}::DOUBLE)::BIGINT]"
+    at = lambda n, p: f"(CASE WHEN {bin_at(n, p)} = -1073741824 THEN 0.0::DOUBLE ELSE {2 / (config.base() + 1)!r}::DOUBLE * pow({config.base()!r}::DOUBLE, {bin_at(n, p)}) END)"
+    fence = ", ".join(f"{at(n, config.high)} + {config.spread}::DOUBLE * greatest({at(n, config.high)} - {at(n, config.low)}, {v}::DOUBLE) AS {n}" for n, v in config.floors)
     pick = lambda n: f"CASE WHEN own.docs >= {config.min_docs} THEN own.{n} WHEN lang_.docs >= {config.min_docs} THEN lang_.{n} ELSE every.{n} END"
     over = " OR ".join(f"s.{n} > {pick(n)}" for n in names)
     return rf"""WITH w AS (SELECT doc_id, lang, source, text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
@@ -49,7 +54,7 @@ g AS (SELECT doc_id, i, concat(w[i], chr(1), w[i + 1], chr(1), w[i + 2]) AS g FR
 v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 c AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
   coalesce(v.n, 0) AS n_repeat_words, length(regexp_replace(coalesce(text, ''), '[^A-Z!]+', '', 'g')) AS n_capitals FROM w LEFT JOIN v USING (doc_id)),
-s AS (SELECT *, {signals} FROM c),
+r AS (SELECT *, {signals} FROM c), s AS (SELECT *, {bins} FROM r),
 own AS (SELECT lang, source, count(*) AS docs, {fence} FROM s GROUP BY lang, source), lang_ AS (SELECT lang, count(*) AS docs, {fence} FROM s GROUP BY lang), every AS (SELECT count(*) AS docs, {fence} FROM s),
 j AS (SELECT s.*, n_words < {config.min_words} OR n_repeat_words * 100 > n_words * {config.max_repeat_percent} AS base_failed, {over} AS over FROM s JOIN own ON s.lang IS NOT DISTINCT FROM own.lang AND s.source IS NOT DISTINCT FROM own.source JOIN lang_ ON s.lang IS NOT DISTINCT FROM lang_.lang, every)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM j"""

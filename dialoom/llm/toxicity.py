@@ -4,16 +4,21 @@ Training: log-odds of each feature between toxic and other texts, with an inform
 (Monroe et al.), on a bounded sample of the labelled rows. Features are whole words and word beginnings,
 so that unseen forms of a known stem count too. A word's score is that of the word, or else that of
 its longest known beginning, or else a negative drift; sums of scores then have negative expectation in
-clean text, and all maximal segments are found in one pass (Ruzzo and Tompa). A segment's score is
-calibrated as an extreme value (Karlin and Altschul): the decay of maximal scores solves
-sum p * exp(decay * score) = 1 over the clean training text, and a text's statistic is the sum of the
-normalised scores of its significant segments less the logarithm of its length. The statistic is made
-a probability by logistic regression on the same sample.
+clean text, and all maximal segments are found in one pass (Ruzzo and Tompa).
+
+A segment's score is calibrated as an extreme value (Karlin and Altschul): the best of n words of clean
+text exceeds x with probability 1 - exp(-constant * n * exp(-decay * x)). The decay solves
+sum p * exp(decay * score) = 1 over the word scores of clean texts, as they are scored (features never
+seen there count half a time, so the root is finite); the constant is the likeliest for the best
+segments of clean texts that had no part in the odds. A text's statistic is the sum of the normalised
+scores of its significant segments less the logarithm of constant * n. It is made a probability by
+logistic regression on the rows that had no part in the odds.
 
 Defined cases: null and empty texts have no segment and get the score of the least statistic; labels
-that are null or whose document is missing are not used; without labels of both kinds all texts get the
-share of toxic ones among the labels (0 without any); repeated rows are scored alike; an empty table
-gives an empty result; only doc_id and text are read.
+that are null or whose document is missing are not used; of rows that share an id the text that sorts
+first is learnt from, with the greater label; without labels of both kinds all texts get the share of
+toxic ones among the labels (0 without any); repeated rows are scored alike; an empty table gives an
+empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ class ToxicConfig:
     least_docs: int = 5
     #: Least share of toxic texts among the texts with a feature.
     least_share: float = 0.5
+    #: One in so many of the sample is kept from the odds, for the calibration.
+    apart: int = 4
     #: Segments with more expected chance hits than this in a text aren't significant.
     chance: float = 1.0
 
@@ -119,24 +126,28 @@ def statistic(words: list[str], model: Model) -> tuple[float, list[tuple[int, in
             hits.append((i, s))
     if not hits:
         return 0.0, []
-    size = math.log(model.constant * len(words))
+    size = math.log(max(model.constant * len(words), 1e-300))
     normal = [(a, b, model.decay * s) for a, b, s in segments(hits, drift)]
     found = [(a, b, s - size) for a, b, s in normal if s - size > -math.log(model.chance)]
     return sum(s for _, _, s in found), found
 
 
 def _decay(scores: np.ndarray, weights: np.ndarray) -> float:
-    """The positive root of sum weight * exp(decay * score) = 1; 1 where there is none."""
-    p = weights / weights.sum()
-    if not len(scores) or (p * scores).sum() >= 0 or scores.max() <= 0:
+    """The positive root of sum weight * exp(decay * score) = 1, for a negative mean and some positive score of positive weight; 1 where there is none."""
+    p, most = weights / weights.sum(), scores.argmax() if len(scores) else 0
+    if not len(scores) or (p * scores).sum() >= 0 or scores[most] <= 0 or p[most] <= 0:
         return 1.0
-    low, high = 0.0, 1.0
-    while (p * np.exp(high * scores)).sum() < 1:
-        high *= 2
+    low, high = 0.0, -math.log(p[most]) / scores[most]  # here the greatest score alone gives 1
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if (p * np.exp(mid * scores)).sum() < 1 else (low, mid)
-    return low
+    return high
+
+
+def _constant(best: np.ndarray, words: np.ndarray, least: float) -> float:
+    """The likeliest constant for the best normalised scores of clean texts of so many words; 0 means a score below ``least``."""
+    spread = (words * np.exp(-np.maximum(best, least))).sum()
+    return float(max((best > 0).sum(), 0.5) / spread) if spread > 0 else 1.0
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -174,12 +185,52 @@ def _words_of(batches: Iterator[pa.RecordBatch], config: ToxicConfig) -> Iterato
         yield pa.RecordBatch.from_arrays(columns, names=["feature", "toxic", "n", "docs"])
 
 
+def _seen(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """(text) to (score, n): how often words have which score; null for the drift."""
+    for batch in batches:
+        counts: dict[float | None, int] = {}
+        for text in batch.column(0).to_pylist():
+            for w in text_words(text or ""):
+                got = model.score(w)
+                got = None if got == model.drift else got
+                counts[got] = counts.get(got, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.float64()), pa.array(list(counts.values()), pa.int64())], names=["score", "n"])
+
+
+def _best(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) to (best normalised segment or 0, words, toxic)."""
+    for batch in batches:
+        best, sizes = [], []
+        for text in batch.column(0).to_pylist():
+            words = text_words(text or "")
+            hits = [(i, s) for i, s in enumerate(map(model.score, words)) if s != model.drift]
+            best.append(model.decay * max((s for _, _, s in segments(hits, model.drift)), default=0.0))
+            sizes.append(len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(sizes, pa.int64()), batch.column(1)], names=["best", "words", "toxic"])
+
+
 def _statistics(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [statistic(text_words(t or ""), model)[0] for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], names=["x", "toxic"])
 
 
+def odds(texts: DataFrame, config: ToxicConfig, scratch: Scratch) -> DataFrame:
+    """(feature, odds) of the features that tell toxic texts (text, toxic) from others; the most certain, config.vocabulary at most."""
+    counted = texts.mapInArrow(lambda b: _words_of(b, config), "feature string, toxic int, n long, docs long")
+    by = lambda c, t: F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0))
+    counts = scratch.keep(counted.groupBy("feature").agg(by("n", 1).alias("y1"), by("n", 0).alias("y0"), by("docs", 1).alias("d1"), by("docs", 0).alias("d0")), "counts")
+    word = counts.filter(F.col("feature").startswith("w:")).agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0")).first()
+    n1, n0 = float(word["n1"] or 0) or 1.0, float(word["n0"] or 0) or 1.0
+    alpha = (F.col("y1") + F.col("y0")) / F.lit(n1 + n0) * config.prior + 0.01
+    side = lambda y, n: F.log((F.col(y) + alpha) / (F.lit(n + config.prior) - F.col(y) - alpha))
+    ratio = (side("y1", n1) - side("y0", n0)).alias("odds")
+    z = ratio / F.sqrt(1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha))
+    share = F.col("d1") / (F.col("d1") + F.col("d0"))
+    good = counts.select("feature", "d1", ratio, z.alias("z"), share.alias("share")).filter((F.col("z") >= config.least_z) & (F.col("d1") >= config.least_docs) & (F.col("share") >= config.least_share) & (F.col("odds") > 0))
+    return good.orderBy(F.desc("z"), "feature").limit(config.vocabulary).select("feature", "odds")
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, config: ToxicConfig = ToxicConfig(), scratch: Scratch | None = None) -> Model:
     """A model from the ``labels`` (doc_id, toxic) whose doc_id is ``usable``, config.sample rows at most."""
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
@@ -187,34 +238,32 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, config: ToxicConfi
     chosen = labels.filter(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample)
     known = scratch.keep(chosen, "chosen")
-    texts = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"), "texts")
-    totals = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts = scratch.keep(texts.select("text", "toxic", (F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(config.apart)) == 0).alias("apart")), "texts")
+    totals = {(r["toxic"], r["apart"]): r["n"] for r in texts.groupBy("toxic", "apart").agg(F.count(F.lit(1)).alias("n")).collect()}
+    has = lambda apart: all(totals.get((t, apart)) for t in (0, 1))
     model = Model(sizes=tuple(sorted(config.stems, reverse=True)), chance=config.chance)
-    if not totals.get(0) or not totals.get(1):
-        model.intercept = 20.0 if totals.get(1) else -20.0
+    if not (totals.get((0, False)) or totals.get((0, True))) or not (totals.get((1, False)) or totals.get((1, True))):
+        model.intercept = 20.0 if any(t == 1 for t, _ in totals) else -20.0
         return model
-    counted = texts.mapInArrow(lambda b: _words_of(b, config), "feature string, toxic int, n long, docs long")
-    by = lambda c, t: F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0))
-    counts = scratch.keep(counted.groupBy("feature").agg(by("n", 1).alias("y1"), by("n", 0).alias("y0"), by("docs", 1).alias("d1"), by("docs", 0).alias("d0")), "counts")
-    word = counts.filter(F.col("feature").startswith("w:")).agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0")).first()
-    n1, n0 = float(word["n1"] or 0) or 1.0, float(word["n0"] or 0) or 1.0
-    alpha = (F.col("y1") + F.col("y0")) / F.lit(n1 + n0) * config.prior + 0.01
-    side = lambda y, n: F.log((F.col(y) + alpha) / (F.lit(n + config.prior) - F.col(y) - alpha))
-    odds = (side("y1", n1) - side("y0", n0)).alias("odds")
-    z = odds / F.sqrt(1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha))
-    share = F.col("d1") / (F.col("d1") + F.col("d0"))
-    good = counts.select("feature", "y0", "d1", "d0", odds, z.alias("z"), share.alias("share")).filter((F.col("z") >= config.least_z) & (F.col("d1") >= config.least_docs) & (F.col("share") >= config.least_share))
-    picked = good.orderBy(F.desc("z"), "feature").limit(config.vocabulary).collect()
-    for r in picked:
+    split = has(True) and has(False)  # a handful of labels serves for both
+    learn, fit = (texts.filter("not apart"), texts.filter("apart")) if split else (texts, texts)
+    for r in odds(learn.select("text", "toxic"), config, scratch).collect():
         (model.words if r["feature"][0] == "w" else model.stems)[r["feature"][2:]] = float(r["odds"])
     # Clean text: most words cost the drift, known ones come up by chance.
-    seen = np.array([[float(r["odds"]), float(r["y0"])] for r in picked if r["feature"][0] == "w"]).reshape(-1, 2)
-    gain = (seen[:, 0] * seen[:, 1]).sum() / n0
-    model.drift = -max(0.05, 4 * gain)
-    model.decay = _decay(np.append(seen[:, 0], model.drift), np.append(seen[:, 1], max(1.0, n0 - seen[:, 1].sum())))
-    model.constant = 0.1
-    fitted = texts.mapInArrow(lambda b: _statistics(b, model), "x double, toxic int").toPandas()  # config.sample rows at most
+    model.drift = 0.0
+    seen = learn.filter("toxic = 0").select("text").mapInArrow(lambda b: _seen(b, model), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    times = dict.fromkeys([*model.words.values(), *model.stems.values()], 0.5) | {r["score"]: float(r["n"]) for r in seen if r["score"] is not None}
+    scores, weights = np.array(list(times)), np.array(list(times.values()))
+    rest = max(1.0, float(sum(r["n"] for r in seen if r["score"] is None)))
+    model.drift = -max(0.05, 4 * float((scores * weights).sum() / (weights.sum() + rest)))
+    model.decay = _decay(np.append(scores, model.drift), np.append(weights, rest))
+    # Bounded: one row for each of the sample's texts.
+    best = fit.filter("toxic = 0").select("text", "toxic").mapInArrow(lambda b: _best(b, model), "best double, words long, toxic int").toPandas()
+    model.constant = _constant(best["best"].to_numpy(), best["words"].to_numpy(dtype=float), model.decay * float(scores.min(initial=1.0)))
+    fitted = fit.select("text", "toxic").mapInArrow(lambda b: _statistics(b, model), "x double, toxic int").toPandas()
     model.slope, model.intercept = _logistic(fitted["x"].to_numpy(), fitted["toxic"].to_numpy(dtype=float))
+    scratch.close()
     return model
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -133,6 +134,18 @@ def test_segments_equal_brute_force():
         assert [(a, b) for a, b, _ in got] == best(0, len(scores))
 
 
+def test_toxicity_decay_and_constant():
+    """The root is finite whatever the weights, and the constant is recovered from maxima drawn by the law."""
+    for scores, weights in (([5, 6, -0.1], [0.5, 0.5, 1000]), ([5, 6, -0.1], [1, 0, 1000]), ([0.2, -0.1], [300, 1000]), ([12.0, -0.05], [1e-3, 1e9])):
+        s, w = toxicity.np.array(scores), toxicity.np.array(weights, dtype=float)
+        root = toxicity._decay(s, w)
+        assert (w / w.sum() * toxicity.np.exp(root * s)).sum() == pytest.approx(1, abs=1e-9) or w[s.argmax()] == 0
+    rng = toxicity.np.random.default_rng(3)
+    n = rng.integers(50, 500, 20_000).astype(float)
+    best = toxicity.np.log(0.02 * n) - toxicity.np.log(-toxicity.np.log(rng.random(20_000)))
+    assert toxicity._constant(toxicity.np.where(best > 0.5, best, 0), n, 0.5) == pytest.approx(0.02, rel=0.05)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     plain = [f"p{i}" for i in range(200)]
@@ -388,7 +401,7 @@ def removed(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("config", [{}, {"contexts": 1}, {"hot": 1, "share": 1.0}, {"hot": 2, "share": 0.5, "combine": 50}, {"combine": 1, "gram": 8}])
+@pytest.mark.parametrize("config", [{}, {"contexts": 1}, {"hot": 1, "even": 0.0, "share": 1.0}, {"hot": 2, "even": 0.0, "share": 0.5, "combine": 50}, {"combine": 1, "gram": 8}])
 def test_repeats_equal_brute_force(spark, config):
     texts, rng = corpus(13, 40, 80)
     passages = [" ".join(f"é{rng.randrange(99)}" for _ in range(40)) for _ in range(4)]
@@ -419,25 +432,38 @@ def test_repeats_of_long_texts():
 # --- 9 decontamination
 
 
-def test_decontamination(spark):
-    texts, rng = corpus(15, 120, 120)
-    items = [" ".join(f"b{rng.randrange(10**6)}" for _ in range(n)) for n in (14, 30, 60, 8, 3)]
-    want = set()
-    for i in range(0, 100, 5):
-        item = rng.randrange(3)
-        w = items[item].split()
-        for k in range(6, len(w), 9):  # one word in nine is another
+def leaks(texts, items, window=14, share=0.8, exact=7):
+    """(document, item) pairs by exhaustive comparison of all alignments."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    out = set()
+    for i, item in enumerate(map(cut, items)):
+        need = len(item) if len(item) < exact else math.ceil(round(share * min(window, len(item)), 9))
+        for d, doc in enumerate(map(cut, texts)) if item else ():
+            for shift in range(-len(item) + 1, len(doc)):
+                same = [0 <= shift + k < len(doc) and doc[shift + k] == w for k, w in enumerate(item)]
+                if max(sum(same[k : k + window]) for k in range(max(1, len(item) - window + 1))) >= need:
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_equals_exhaustive_search(spark):
+    """Items of every length from 1 to 30 tokens, planted with up to one substitution more than is tolerated, at all places."""
+    texts, rng = corpus(15, 260, 60)
+    items = [" ".join(f"b{n}x{k}" for k in range(n)) for n in [*range(1, 16), 20, 30]] + [None, ""]
+    for i, t in enumerate(texts[:240]):
+        w = items[i % 17].split()
+        for k in rng.sample(range(len(w)), min(len(w), i // 17 % 5)):
             w[k] = "sub"
-        texts[i] = texts[i] + " " + " ".join(w).upper() + ". " + texts[i][:20]
-        want.add((i, item))
-    texts.append(items[3])
-    want.add((120, 3))
-    texts.append(items[4])  # too short for a seed
+        texts[i] = t + " " + " ".join(w).upper() + (". " + t[:20] if i % 2 else "")
+    texts += [items[i] for i in range(17)] + [None, ""]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = leaks(texts, items)
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlap_digest(docs(spark, list(enumerate(texts))), bench).collect()}
-    assert got == want
-    left = decontaminate.decontaminate(docs(spark, list(enumerate(texts)), CLASHES), bench)
-    assert sorted(r.doc_id for r in left.collect()) == [i for i in range(122) if i not in {d for d, _ in want}]
+    assert got == want and len(want) > 100
+    rows = docs(spark, list(enumerate(texts)), CLASHES + " _digest _row")
+    left = decontaminate.decontaminate(rows, bench)
+    assert left.columns == rows.columns and {r._digest for r in left.collect()} == {"x"}
+    assert sorted(r.doc_id for r in left.collect()) == [i for i in range(len(texts)) if i not in {d for d, _ in want}]
 
 
 # --- 10 quality
