@@ -8,7 +8,7 @@ one folder, which goes as soon as another stage begins (unless the documents giv
 Defined cases, of every stage: rows are kept or dropped whole, with their columns in order, and columns
 of any other name are carried along untouched (the last stage replaces mix_size, mix_target and
 mix_taken). Null, empty and very long texts are judged by what is in them: the quality rules reject a
-text without 50 words, near-dedup links it with nothing, decontamination and PII find nothing in it,
+text without a word, near-dedup links it with nothing, decontamination and PII find nothing in it,
 and the mix takes no word of it, so it leaves there. Null sources and languages form groups of their
 own. Rows that are equal in all columns pass or fail together, but near-dedup keeps one row of an id;
 it keeps every row with a null id. Empty tables give empty tables of the same columns.
@@ -23,8 +23,10 @@ from dialoom.llm.decontaminate import decontaminate
 from dialoom.llm.minhash import NearConfig, near_dedup
 from dialoom.llm.mixing import mix_select
 from dialoom.llm.pii import pii_redact
-from dialoom.llm.quality import quality_filter
+from dialoom.llm.quality import QualityConfig, quality_filter
 
+#: Short texts aren't junk by that alone: only texts without a word go for their length.
+QUALITY = QualityConfig(min_words=1)
 #: The stage links from a similarity of 0.80 on; a pair at 0.80 agrees in fewer than 34 of 64 coordinates with a chance of 3e-7.
 NEAR = NearConfig(percent=80, least=34)
 
@@ -43,7 +45,7 @@ def _scratch(spark: SparkSession, name: str, docs: DataFrame) -> Scratch:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the adaptive quality rules go."""
-    return quality_filter(docs, scratch=_scratch(spark, "quality", docs))
+    return quality_filter(docs, QUALITY, _scratch(spark, "quality", docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
