@@ -6,6 +6,9 @@ finds the same leftmost matches as the plain pattern. Account numbers differ: wo
 follow one look like its groups, so a run is proposed at each possible start, as far as it may reach,
 and the account number is that part of it, up to the end of a group, which passes the checksum.
 
+Places are running sums over matches, made in two levels of blocks, and pieces of a text are cut from
+chunks of it, so a text of very many matches never copies all earlier ones or scans from its start.
+
 Defined cases: a null text counts as empty and has no spans; very long texts are scanned whole; each
 row is judged on its own, so repeated rows get equal results; an empty table gives an empty result;
 extra columns are never read.
@@ -13,6 +16,7 @@ extra columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -121,56 +125,94 @@ def _apart(found: Column) -> Column:
     return F.aggregate(found, F.array().cast(_SPAN), step)
 
 
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The fold of ``values`` up to each of them, for an associative step. Folds blocks of about the root of their number, so none copies much."""
+
+    def by_block(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        part = lambda b: F.slice(v, b * width + 1, width)
+        whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: F.aggregate(part(b), zero, step))
+
+        def fold(x: Column, first: Column) -> Column:
+            start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+            return F.aggregate(x, start, lambda a, y: let(step(a["at"], y), lambda s: F.struct(s.alias("at"), F.concat(a["out"], F.array(s)).alias("out"))), lambda a: a["out"])
+
+        before = lambda w: let(fold(w, zero), lambda f: F.flatten(F.transform(w, lambda _, b: fold(part(b), F.when(b == 0, zero).otherwise(F.get(f, b - 1))))))
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(let(whole, before))
+
+    return let(values, by_block)
+
+
 def _matches(text: Column, kind: Kind) -> Column:
     """All matches with their places in code points. The pieces between matches give the places."""
     none = F.array().cast(_SPAN)
 
     def place(m: Column) -> Column:
         def fold(g: Column) -> Column:
-            def step(a: Column, i: Column) -> Column:
-                start = a["pos"] + F.length(F.get(g, i))
-                end = start + F.length(F.get(m, i))
-                after = start + kind.head if kind.head else end
-                return F.struct(after.cast("int").alias("pos"), F.concat(a["out"], F.array(F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), F.get(m, i).alias("m")))).cast(_SPAN).alias("out"))
-
-            zero = F.struct(F.lit(0).cast("int").alias("pos"), none.alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda a: a["out"])
+            taken = lambda i: F.lit(kind.head) if kind.head else F.length(F.get(m, i))
+            steps = F.transform(m, lambda _, i: (F.length(F.get(g, i)) + taken(i)).cast("int"))
+            start = lambda x, i, ends: F.get(ends, i) - taken(i)
+            return let(running(steps, F.lit(0), lambda a, x: a + x), lambda ends: F.transform(m, lambda x, i: F.struct(start(x, i, ends).cast("int").alias("s"), (start(x, i, ends) + F.length(x)).cast("int").alias("e"), x.alias("m"))))
 
         return F.when(F.size(m) == 0, none).otherwise(let(F.split(text, kind.pattern, -1), fold))
 
     found = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.part else 0)), place)
     if kind.part:
-        found = _apart(F.transform(found, lambda x: let(kind.part(x["m"]), lambda p: F.struct(x["s"].alias("s"), (x["s"] + F.length(p)).alias("e"), p.alias("m")))))
+        parts = F.transform(found, lambda x: let(kind.part(x["m"]), lambda p: F.struct(x["s"].alias("s"), (x["s"] + F.length(p)).alias("e"), p.alias("m"))))
+        found = _apart(F.filter(parts, lambda x: x["m"].isNotNull()))
     return F.when(kind.gate(text), F.filter(found, lambda x: kind.valid(x["m"]))).otherwise(none)
 
 
-def _scored(text: Column, kind: Kind, config: PiiConfig) -> Column:
+#: Characters of a chunk.
+_CHUNK = 4096
+
+
+def chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def piece(cut: Column, start: Column, end: Column) -> Column:
+    """The characters [start, end) of a text in chunks."""
+    first = F.floor(start / _CHUNK).cast("int")
+    last = F.floor(F.greatest(end - 1, start) / _CHUNK).cast("int")
+    return F.substr(F.array_join(F.slice(cut, first + 1, last - first + 1), ""), start % _CHUNK + 1, end - start)
+
+
+def _scored(cut: Column, kind: Kind, config: PiiConfig, found: Column) -> Column:
     def one(x: Column) -> Column:
-        first = F.greatest(x["s"] - config.window, F.lit(0))
-        near = F.substr(text, first + 1, x["e"] + config.window - first)
+        near = piece(cut, F.greatest(x["s"] - config.window, F.lit(0)), x["e"] + config.window)
         score = F.lit(kind.score + kind.checked) + F.when(F.lower(near).rlike(kind.context), F.lit(config.context)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), x["m"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
 
-    all_of = F.transform(_matches(text, kind), one)
+    all_of = F.transform(found, one)
     return all_of if kind.base else F.filter(all_of, lambda x: x["score"] >= config.least)
 
 
 def find_spans(text: Column, config: PiiConfig = PiiConfig()) -> Column:
     """Array of (kind, start, end, value, score), by kind as listed, then start."""
-    whole = F.coalesce(text, F.lit(""))
-    return let(whole, lambda t: F.concat(*[_scored(t, k, config) for k in KINDS]))
+
+    def of(t: Column) -> Column:
+        found = F.struct(*[_matches(t, k).alias(k.name) for k in KINDS])
+        some = lambda f: F.greatest(*[F.size(f[k.name]) for k in KINDS]) > 0
+        spans = lambda f: let(chunks(t), lambda cut: F.concat(*[_scored(cut, k, config, f[k.name]) for k in KINDS]))
+        none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
+        return let(found, lambda f: F.when(some(f), spans(f)).otherwise(none))
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; spans that touch an earlier one join it."""
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = F.concat(a["out"], F.substr(text, a["pos"] + 1, x["start"] - a["pos"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["pos"], x["end"]).alias("pos"), F.when(x["start"] >= a["pos"], fresh).otherwise(a["out"]).alias("out"))
-
     def write(ordered: Column) -> Column:
-        zero = F.struct(F.lit(0).cast("int").alias("pos"), F.lit("").alias("out"))
-        return F.aggregate(ordered, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["pos"] + 1, F.length(text))))
+        def joined(reach: Column, cut: Column) -> Column:
+            before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+            fresh = lambda x, i: F.when(x["start"] >= before(i), F.concat(piece(cut, before(i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+            rest = piece(cut, F.get(reach, F.size(reach) - 1), F.length(text))
+            return F.concat(F.array_join(F.transform(ordered, fresh), ""), rest)
+
+        ends = running(F.transform(ordered, lambda x: x["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+        return let(ends, lambda reach: let(chunks(text), lambda cut: joined(reach, cut)))
 
     ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     return F.when(F.size(spans) == 0, text).otherwise(let(ordered, write))
@@ -196,4 +238,5 @@ def pii_digest(docs: DataFrame, config: PiiConfig = PiiConfig()) -> DataFrame:
         *[F.size(only(k)).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(joined(F.filter("_spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
         joined(F.col("_spans")).alias("spans"),
+        F.size("_spans").cast("long").alias("n_private"),
     )
