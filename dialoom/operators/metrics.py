@@ -34,12 +34,18 @@ def target_first_ranks(hits: DataFrame, targets: DataFrame) -> DataFrame:
 def averages(rows: DataFrame, names: list[str], places: int = 4, by: str | None = None) -> DataFrame:
     """Means without nulls, overall (``by`` null) and for each non-null value of ``by``."""
     aggs = [F.bround(F.avg(n), places).alias(n) for n in names] + [F.count(F.lit(1)).alias("n")]
+    aggs += [F.count(n).alias("n_all_targets") for n in names if n.startswith("all_")][:1]
     overall = rows.agg(*aggs)
     if by is None:
         return overall
     return overall.withColumn(by, F.lit(None).cast(rows.schema[by].dataType)).unionByName(rows.filter(F.col(by).isNotNull()).groupBy(by).agg(*aggs))
 
 
+def hits_at(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, hit): whether each query reaches any requirement in the top k."""
+    return rows.select("query_id", (F.col(f"hit_{k}") == 1.0).alias("hit"))
+
+
 def outcome_buckets(cells: DataFrame) -> DataFrame:
     """(query_id, bucket) from (query_id, method, hit) of bm25, dense and hybrid; a query may be in several buckets."""
     wide = cells.groupBy("query_id").pivot("method", ["bm25", "dense", "hybrid"]).agg(F.max("hit"))
@@ -66,10 +72,11 @@ def partial_hits(rows: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_rank(frame: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Nearest-rank percentiles p<q>: the element at max(1, half-even round of q * n)."""
+    """Nearest-rank percentiles p<q>: the element at max(1, half-even round of q * n). Ordered are the distinct values of a key, with their counts."""
     by = Window.partitionBy(*keys)
-    ranked = frame.select(*keys, value).withColumn("_r", F.row_number().over(by.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(by))
-    at = lambda q: F.max(F.when(F.col("_r") == F.greatest(F.lit(1), F.bround(F.col("_n") * q, 0).cast("long")), F.col(value)))
+    counts = frame.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = counts.withColumn("_upto", F.sum("_c").over(by.orderBy(value))).withColumn("_n", F.sum("_c").over(by))
+    at = lambda q: F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.bround(F.col("_n") * q, 0).cast("long")), F.col(value)))
     return ranked.groupBy(*keys).agg(*[at(q).alias(f"p{round(q * 100)}") for q in qs])
 
 

@@ -27,20 +27,30 @@ def span_hits(spans: DataFrame, chunks: DataFrame) -> DataFrame:
 def find_quotes(lines: DataFrame, quotes: DataFrame) -> DataFrame:
     """Places of each quote (quote_id, ep, quote) in its episode's lines (ep, i, source_row, clean_text): quote_id, row_first, row_last.
 
-    Lines in match form are joined with single spaces; matches may overlap and may start inside a word. Only the
-    episodes that have quotes to look for are gathered, each as one text.
+    Lines in match form are joined with single spaces; matches may overlap and may start inside a word. Only
+    the episodes that have quotes to look for are gathered, each as one text. That is cut before every match
+    in one pass; running lengths of the pieces are the places, and an as-of window finds their rows.
     """
     wanted = quotes.select("quote_id", "ep", match_form(F.col("quote")).alias("needle")).filter("needle <> ''")
     asked = wanted.select("ep").distinct()
     formed = lines.join(asked, "ep", "left_semi").select("ep", "i", "source_row", match_form(F.col("clean_text")).alias("f"))
     by = Window.partitionBy("ep").orderBy("i")
     placed = formed.withColumn("at", F.coalesce(F.sum(F.length("f") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = placed.groupBy("ep").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda x: x["f"]), " ").alias("text"), F.array_sort(F.collect_list(F.struct("i", "at", "source_row"))).alias("starts"))
-    met = wanted.join(whole, "ep").filter(F.expr("instr(text, needle) > 0"))
-    step = F.filter(F.sequence(F.lit(0), F.length("text") - F.length("needle")), lambda p: F.substr("text", p + 1, F.length("needle")) == F.col("needle"))
-    found = met.select("quote_id", "starts", F.length("needle").alias("n"), F.explode(step).alias("p"))
-    row_at = lambda p: F.element_at(F.filter("starts", lambda s: s["at"] <= p), -1)["source_row"]
-    return found.select("quote_id", row_at(F.col("p")).alias("row_first"), row_at(F.col("p") + F.col("n") - 1).alias("row_last"))
+    whole = placed.groupBy("ep").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda x: x["f"]), " ").alias("text"))
+    met = wanted.join(whole, "ep").filter(F.contains("text", F.col("needle")))
+    # A match form has letters, digits and spaces only, so the needle is its own pattern.
+    cut = met.select("quote_id", "ep", F.length("needle").alias("n"), "needle", F.posexplode(F.split("text", F.concat(F.lit("(?="), F.col("needle"), F.lit(")")))).alias("k", "piece"))
+    order = Window.partitionBy("quote_id", "ep").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    found = cut.withColumn("p", F.coalesce(F.sum(F.length("piece")).over(order), F.lit(0))).filter((F.col("k") > 0) | F.col("piece").startswith(F.col("needle")))
+    ends = found.select("ep", "quote_id", F.col("p").alias("match"), F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("p").alias("at")), F.struct(F.lit(2).alias("side"), (F.col("p") + F.col("n") - 1).alias("at")))).alias("e"))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lines.schema["source_row"].dataType
+    marks = placed.select("ep", "at", none(quotes.schema["quote_id"].dataType).alias("quote_id"), none("long").alias("match"), F.lit(0).alias("side"), "source_row", F.col("i").cast("long").alias("i"))
+    probes = ends.select("ep", F.col("e.at").cast("long").alias("at"), "quote_id", F.col("match").cast("long").alias("match"), F.col("e.side").alias("side"), none(row).alias("source_row"), none("long").alias("i"))
+    upto = Window.partitionBy("ep").orderBy("at", "side", "i").rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.unionByName(probes).withColumn("row", F.last("source_row", ignorenulls=True).over(upto)).filter("side > 0")
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("row")))
+    return seen.groupBy("quote_id", "ep", "match").agg(at(1).alias("row_first"), at(2).alias("row_last")).select("quote_id", "row_first", "row_last")
 
 
 def quote_status(spans: DataFrame, found: DataFrame) -> DataFrame:

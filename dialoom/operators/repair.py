@@ -106,8 +106,21 @@ def reopened(rows: DataFrame, keys: Sequence[str], order: str, block: Sequence[s
     """Rows that begin a further block of a key that was left before."""
     key = F.struct(*keys)
     before = F.lag(key).over(_ordered(order, block))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("_before", before).withColumn("_place", place).filter((F.col("_place") > 1) & (F.col("_before") != key)).drop("_before", "_place")
+    first = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
+    began = rows.withColumn("_before", before).filter(F.col("_before") != key).drop("_before")
+    return began.alias("r").join(first.alias("f"), [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]).filter(F.col(f"r.{order}") > F.col("f._first")).select("r.*")
+
+
+def describe(rows: DataFrame) -> DataFrame:
+    """What a report shows of a row."""
+    return rows.select("csv_record", "season", "episode", "speaker", "text")
+
+
+def load_report(rows: DataFrame, dead: DataFrame, dropped: DataFrame) -> DataFrame:
+    """(fact, n): rows loaded, records that failed, rows dropped as unresolved, and how often each fix was made (gaps and rebuilt rows included)."""
+    made = rows.select(F.array_compact(F.concat("fixes", F.array(F.when(F.col("filled") == "filled", F.lit("filled_episode_ids")), F.when(F.col("reconstructed"), F.lit("reconstructed_source_row"))))).alias("fixes"))
+    count = lambda frame, name: frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("fact"), "n")
+    return count(rows, "rows").unionByName(count(dead, "failed")).unionByName(count(dropped, "unresolved")).unionByName(fix_counts(made).select(F.col("fix").alias("fact"), "n"))
 
 
 def ranges(frame: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -6,14 +6,25 @@ a hash of the id, so rankings don't depend on partitioning.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Retrieval
+from ..errors import ArtifactError, ConfigurationError
 from ..functions.text import search_tokens
+from ..shipping import ship_by_value
+
+ship_by_value(__name__)
 
 DEC = "decimal(38,15)"
 
@@ -41,11 +52,11 @@ def tiebreak(chunk_id: Column) -> Column:
     return F.conv(F.substring(F.sha1(chunk_id.cast("string")), 1, 15), 16, 10).cast("long")
 
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score) to the best k of each query with their rank from 1."""
+def top_k(scored: DataFrame, k: int, *carry: str) -> DataFrame:
+    """(query_id, chunk_id, score) to the best k of each query with their rank from 1, and the columns to carry."""
     exact = scored.withColumn("score", F.bround("score", 12))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), tiebreak(F.col("chunk_id")))
-    return exact.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= max(k, 0)).select("query_id", "chunk_id", "score", "rank")
+    return exact.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= max(k, 0)).select("query_id", "chunk_id", "score", "rank", *carry)
 
 
 def unique_ids(chunks: DataFrame) -> DataFrame:
@@ -71,39 +82,87 @@ def bm25_idf(posted: DataFrame, n_chunks: DataFrame, epsilon: float = 0.0) -> Da
 def bm25_scores(chunks: DataFrame, queries: DataFrame, config: Retrieval = Retrieval()) -> DataFrame:
     """Positive scores (query_id, chunk_id, score) of (query_id, text) against (chunk_id, text).
 
-    Statistics cover the whole chunk set. Only the queries' terms are posted to the join, and terms
-    without weight are left out before it. Contributions are added as decimals, so that no order of
-    addition changes a score.
+    Statistics cover the whole chunk set. Only the queries' terms are posted, once: document frequencies
+    and scores read the same shuffled postings. Terms without weight are left out before the join
+    (negative weights become config.epsilon times the mean of all terms'). Contributions are added as
+    decimals, so that no order of addition changes a score.
     """
     stats = chunks.select(F.size(search_tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     wanted = queries.select("query_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     lengths = chunks.select("chunk_id", search_tokens(F.col("text")).alias("t"))
     posted = lengths.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("f"))
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = df.join(F.broadcast(stats), how="cross").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).filter("idf > 0")
+    # The sum keeps the column f, so this reads the exchange that the scores read.
+    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("cf")).filter("cf >= df")
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    weighed = df.join(F.broadcast(stats), how="cross").withColumn("idf", raw)
+    if config.epsilon:
+        every = postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), how="cross")
+        mean = every.agg(F.avg(raw).alias("mean"))
+        weighed = weighed.join(F.broadcast(mean), how="cross").withColumn("idf", F.when(F.col("idf") < 0, F.col("mean") * config.epsilon).otherwise(F.col("idf")))
     part = F.col("idf") * F.col("f") * (config.k1 + 1) / (F.col("f") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    met = posted.join(weighed, "term").select("chunk_id", "term", part.alias("part")).join(wanted, "term")
+    met = posted.join(weighed.filter("idf > 0"), "term").select("chunk_id", "term", part.alias("part")).join(wanted, "term")
     return met.groupBy("query_id", "chunk_id").agg(F.sum((F.col("part") * F.col("times")).cast(DEC)).cast("double").alias("score")).filter("score > 0")
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Dot products in double precision of (query_id, vector) with every (chunk_id, vector).
+def _packed(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """(id, vector) to rows of up to ``most`` ids and their vectors end to end."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            part = batch.slice(start, most)
+            vectors = part.column(1).cast(pa.list_(pa.float64()))
+            flat = vectors.flatten()
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(ids)], ids) for ids in (part.column(0), flat)], names=names)
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int | None) -> Iterator[pa.RecordBatch]:
+    """(queries, query vectors, chunks, vectors), packed, to scores: of each query the best k of each block and all that tie with the last."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            queries, asked, chunks, flat = (batch.column(i)[row].values for i in range(4))
+            scores = asked.to_numpy().reshape(len(queries), -1) @ flat.to_numpy().reshape(len(chunks), -1).T
+            if k is not None and k < len(chunks):
+                rounded = scores.round(12)
+                q, c = np.nonzero(rounded >= -np.partition(-rounded, k - 1, axis=1)[:, k - 1 : k] - 2e-12)
+            else:
+                q, c = (x.ravel() for x in np.indices(scores.shape))
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(q)), chunks.take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
+
 
-    The query batch is the small side: one query set against all rows, in blocks.
+def dense_scores(vectors: DataFrame, queries: DataFrame, k: int | None = None, block: int = 512) -> DataFrame:
+    """Dot products in double precision of (query_id, vector) with (chunk_id, vector): all, or with ``k`` those that can be among a query's best k.
+
+    One stated query set against all rows, in blocks: both sides are packed into rows of ``block`` vectors,
+    so what is joined is blocks, a block pair is one matrix product, and only its best leave the task.
     """
-    dot = F.aggregate(F.zip_with("qv", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    asked = queries.select("query_id", F.col("vector").alias("qv"))
-    return vectors.join(asked, how="cross").select("query_id", "chunk_id", dot.alias("score"))
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    pack = lambda frame, key, names: frame.select(key, "vector").mapInArrow(lambda b: _packed(b, names, block), f"{names[0]} array<{kind(frame, key)}>, {names[1]} array<double>")
+    pairs = pack(vectors, "chunk_id", ["chunks", "vectors"]).join(pack(queries.coalesce(1) if k else queries, "query_id", ["queries", "asked"]), how="cross")
+    return pairs.select("queries", "asked", "chunks", "vectors").mapInArrow(lambda b: _best(b, k), f"query_id {kind(queries, 'query_id')}, chunk_id {kind(vectors, 'chunk_id')}, score double")
+
+
+def _embedded(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, vector)."""
+    bucket: dict[str, int] = {}
+    for batch in batches:
+        out = np.zeros((batch.num_rows, dim))
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            for word in re.findall("[a-z0-9]+", (text or "").lower()):
+                at = bucket.get(word)
+                if at is None:
+                    if len(bucket) > 1_000_000:
+                        bucket.clear()
+                    at = bucket[word] = int(hashlib.md5(word.encode()).hexdigest()[-2:], 16) % dim
+                out[i, at] += 1
+        out[:, 0] += 1e-3
+        out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["key", "vector"])
 
 
 def embed_words(frame: DataFrame, key: str, dim: int = 64) -> DataFrame:
-    """(key, vector): hashed bag of words, with a trace of bucket 0, of unit length."""
-    bucket = (F.conv(F.right(F.md5("w"), F.lit(2)), 16, 10).cast("int") % dim).alias("bucket")
-    counted = frame.select(key, F.explode(search_tokens(F.col("text"))).alias("w")).groupBy(key, bucket).agg(F.count(F.lit(1)).alias("n"))
-    rows = frame.select(key).distinct().join(counted, key, "left").groupBy(key).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("bucket", "n")), lambda x: x["bucket"].isNotNull())).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double") + F.when(i == 0, 1e-3).otherwise(0.0))
-    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
-    return rows.select(key, raw.alias("raw")).select(key, "raw", length.alias("len")).select(key, F.transform("raw", lambda x: x / F.col("len")).alias("vector"))
+    """(key, vector): hashed bag of words, with a trace of bucket 0, of unit length. One pass without a shuffle."""
+    kind = frame.schema[key].dataType.simpleString()
+    return frame.select(key, "text").mapInArrow(lambda b: _embedded(b, dim), f"key {kind}, vector array<double>").withColumnRenamed("key", key)
 
 
 def fuse(rankings: DataFrame, rrf_k: int = 60) -> DataFrame:
@@ -119,11 +178,19 @@ def hybrid(scored: dict[str, DataFrame], k: int, config: Retrieval = Retrieval()
     for name, frame in scored.items():
         open_to = frame if allowed is None else frame.join(allowed, "chunk_id", "left_semi")
         parts.append(top_k(open_to, config.candidates).withColumn("method", F.lit(name)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    fused = fuse(every, config.rrf_k)
-    return top_k(fused.select("query_id", "chunk_id", "score"), k).join(fused.select("query_id", "chunk_id", "components"), ["query_id", "chunk_id"])
+    return top_k(fuse(reduce(DataFrame.unionByName, parts), config.rrf_k), k, "components")
+
+
+def result(ranked: DataFrame, chunks: DataFrame, text: bool = True) -> DataFrame:
+    """Rankings with where their chunks come from, and their texts unless only the provenance is wanted."""
+    where = [c for c in ("season", "episode", "ep", "episode_title", "source_row_start", "source_row_end", "speakers") if c in chunks.columns]
+    return ranked.join(chunks.select("chunk_id", *where, *(["text"] if text else [])), "chunk_id")
+
+
+class Retriever(Protocol):
+    """Answers all queries (query_id, text, vector where it needs one) of a batch: query_id, chunk_id, score, rank."""
+
+    def search(self, queries: DataFrame, k: int, filters: Filters = ...) -> DataFrame: ...
 
 
 class Bm25:
@@ -149,4 +216,29 @@ class Dense:
         return dense_scores(self.chunks.select("chunk_id", "vector"), queries)
 
     def search(self, queries: DataFrame, k: int, filters: Filters = Filters()) -> DataFrame:
-        return top_k(dense_scores(self.chunks.filter(filters.column()).select("chunk_id", "vector"), queries), k)
+        return top_k(dense_scores(self.chunks.filter(filters.column()).select("chunk_id", "vector"), queries, max(k, 1)), k)
+
+
+class Hybrid:
+    """Fusion of other retrievers by name, each asked at the fixed depth with the filters applied."""
+
+    def __init__(self, parts: dict[str, Retriever], config: Retrieval = Retrieval()) -> None:
+        self.parts, self.config = parts, config
+
+    def search(self, queries: DataFrame, k: int, filters: Filters = Filters()) -> DataFrame:
+        ranked = [r.search(queries, self.config.candidates, filters).withColumn("method", F.lit(name)) for name, r in self.parts.items()]
+        fused = fuse(reduce(DataFrame.unionByName, ranked), self.config.rrf_k)
+        return top_k(fused, k, "components")
+
+
+def build_retrievers(methods: Sequence[str], chunks: DataFrame, vectors: DataFrame | None = None, config: Retrieval = Retrieval()) -> dict[str, Retriever]:
+    """Retrievers by name: bm25, dense (needs stored vectors, with the filters' columns), hybrid (of both)."""
+    if unknown := set(methods) - {"bm25", "dense", "hybrid"}:
+        raise ConfigurationError("unknown retrieval method", expected="bm25, dense, hybrid", actual=", ".join(sorted(unknown)))
+    if vectors is None and set(methods) - {"bm25"}:
+        raise ArtifactError("no vector index for these chunks", recovery="build the index first")
+    made: dict[str, Retriever] = {"bm25": Bm25(chunks, config)}
+    if vectors is not None:
+        made["dense"] = Dense(vectors)
+        made["hybrid"] = Hybrid({"bm25": made["bm25"], "dense": made["dense"]}, config)
+    return {m: made[m] for m in methods}

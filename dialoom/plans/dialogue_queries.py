@@ -102,7 +102,8 @@ UNION ALL SELECT ep, n, cum, chunk + 1, t, greatest(t + 1, len(list_filter(cum,
 def _pack_query(size: int, overlap: int) -> None:
     @query(f"chunk_pack_{size}_{overlap}", f"WITH RECURSIVE {pack_sql(size, overlap)} SELECT ep, chunk, s AS start, e AS stop FROM win")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return G.windows(doc_lines(spark, sf_dir), [(size, overlap)]).select("ep", "chunk", "start", "stop")
+        counts = F.transform(F.split("text", "\n"), lambda line: count_tokens(line))
+        return G.windows_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ep"), counts.alias("counts")), [(size, overlap)]).select("ep", "chunk", "start", "stop")
 
 
 _pack_query(64, 8)
@@ -129,17 +130,17 @@ def chunk_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.spread(sizes, ["size"], "v").drop("size")
 
 
-#: Quotes: 20 characters from the middle of every 5th conversation's second turn, sought in the whole conversation.
+#: Quotes: 20 characters of every turn, sought in the whole conversation.
 _FORM = "trim(regexp_replace(regexp_replace(lower({x}), '[''’.]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 _QUOTES = f"""f AS (SELECT conv_id AS ep, turn, {_FORM.format(x='text')} AS f FROM conversations), placed AS (SELECT ep, turn, f, coalesce(sum(length(f) + 1) OVER (PARTITION BY ep ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM f),
-ep AS (SELECT ep, string_agg(f, ' ' ORDER BY turn) AS t FROM f GROUP BY ep), q AS (SELECT conv_id AS quote_id, {_FORM.format(x='substr(text, 10, 20)')} AS needle FROM conversations WHERE turn = 1 AND conv_id % 5 = 0),
-pos AS (SELECT quote_id, unnest(list_filter(range(0, greatest(length(t) - length(needle) + 1, 0)), lambda p: substr(t, p + 1, length(needle)) = needle)) AS p, length(needle) AS n FROM q JOIN ep ON ep = quote_id WHERE needle <> ''),
-hit AS (SELECT quote_id, (SELECT max(turn) FROM placed WHERE placed.ep = quote_id AND a <= p) AS row_first, (SELECT max(turn) FROM placed WHERE placed.ep = quote_id AND a <= p + n - 1) AS row_last FROM pos)"""
+ep AS (SELECT ep, string_agg(f, ' ' ORDER BY turn) AS t FROM f GROUP BY ep), q AS (SELECT conv_id * 1000 + turn AS quote_id, conv_id AS ep, turn, {_FORM.format(x='substr(text, 10, 20)')} AS needle FROM conversations),
+pos AS (SELECT quote_id, ep.ep, unnest(list_filter(range(0, greatest(length(t) - length(needle) + 1, 0)), lambda p: substr(t, p + 1, length(needle)) = needle)) AS p, length(needle) AS n FROM q JOIN ep ON ep.ep = q.ep WHERE needle <> ''),
+hit AS (SELECT quote_id, (SELECT max(turn) FROM placed WHERE placed.ep = pos.ep AND a <= p) AS row_first, (SELECT max(turn) FROM placed WHERE placed.ep = pos.ep AND a <= p + n - 1) AS row_last FROM pos)"""
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "conversations")
-    asked = c.filter("turn = 1 and conv_id % 5 = 0").select(F.col("conv_id").alias("quote_id"), F.col("conv_id").alias("ep"), F.substring("text", 10, 20).alias("quote"))
+    asked = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("quote_id"), F.col("conv_id").alias("ep"), F.substring("text", 10, 20).alias("quote"))
     said = c.select(F.col("conv_id").alias("ep"), F.col("turn").alias("i"), F.col("turn").alias("source_row"), F.col("text").alias("clean_text"))
     return said, asked
 
@@ -152,9 +153,9 @@ def find_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "quote_status",
     f"""WITH {_QUOTES} SELECT quote_id, CASE WHEN quote_id % 3 = 0 THEN 'no_quote' WHEN bool_or(row_first >= s AND row_last <= s) THEN 'ok' WHEN count(row_first) > 0 THEN 'moved' ELSE 'missing' END AS status
-FROM (SELECT q.quote_id, q.quote_id % 2 AS s, row_first, row_last FROM q LEFT JOIN hit ON hit.quote_id = q.quote_id) GROUP BY quote_id""",
+FROM (SELECT q.quote_id, q.quote_id % 7 AS s, row_first, row_last FROM q LEFT JOIN hit ON hit.quote_id = q.quote_id) GROUP BY quote_id""",
 )
 def quote_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     said, asked = quotes(spark, sf_dir)
-    spans = asked.select("quote_id", "ep", (F.col("quote_id") % 2).alias("start"), (F.col("quote_id") % 2).alias("end"), F.when(F.col("quote_id") % 3 != 0, F.col("quote")).otherwise("").alias("quote"))
+    spans = asked.select("quote_id", "ep", (F.col("quote_id") % 7).alias("start"), (F.col("quote_id") % 7).alias("end"), F.when(F.col("quote_id") % 3 != 0, F.col("quote")).otherwise("").alias("quote"))
     return I.quote_status(spans, I.find_quotes(said, spans.select("quote_id", "ep", "quote")))

@@ -140,13 +140,15 @@ def rank_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.rank_changes(cells(spark, sf_dir).filter("method = 'dense'"), [256, 512, 1024])
 
 
-_PAIRED = "pr AS (SELECT item_id, b.text AS q, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
+_PAIRED = "pr AS (SELECT doc_id AS item_id, b.text AS q, d.text AS t FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 _OVERLAP = f"{_PAIRED}, cw AS (SELECT item_id, {CONTENT_SQL.format(x='q')} AS qw, {CONTENT_SQL.format(x='t')} AS tw FROM pr), ov AS (SELECT item_id, CASE WHEN len(qw) > 0 AND len(tw) > 0 THEN len(list_intersect(qw, tw))::DOUBLE / len(qw) END AS overlap FROM cw)"
 
 
 def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    pairs = b.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("t")), "item_id")
+    """Every document with one of the questions in turn."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("asked"), F.col("text").alias("q"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("t"), (F.col("doc_id") % b.count()).alias("asked"))
+    pairs = d.join(b, "asked")
     return K.lexical_overlap(pairs, "q", "t").select("item_id", "overlap")
 
 
@@ -198,22 +200,53 @@ def heldout_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(K.held_out(items, protected).select("id"), "id", "left_anti").select("id")
 
 
-@query("type_quotas", "SELECT lang, n, floor(n * 20.0::DOUBLE / sum(n) OVER ())::BIGINT AS quota FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+_KINDS = "kinds AS (SELECT lang AS kind, count(*) AS n FROM documents GROUP BY lang)"
+_QUOTAS = _KINDS + f""", ex AS (SELECT kind, n, n * 20.0::DOUBLE / sum(n) OVER () AS e FROM kinds), pl AS (SELECT *, floor(e)::BIGINT AS w, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, md5('7:' || kind)) AS place FROM ex),
+quotas AS (SELECT kind, n, w + CASE WHEN place <= 20 - sum(w) OVER () THEN 1 ELSE 0 END AS quota FROM pl)"""
+
+
+@query("type_quotas", f"WITH {_QUOTAS} SELECT kind, n, quota::BIGINT AS quota FROM quotas")
 def type_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole shares of 20 places; the few that are left go by remainder on the driver (evalset.type_quotas)."""
-    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(total, how="cross").select("lang", "n", F.floor(F.col("n") * 20.0 / F.col("total")).alias("quota"))
+    return K.type_quotas(table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count(F.lit(1)).alias("n")), 20, 7)
+
+
+_STRATA = """av AS (SELECT doc_id AS id, 'lang' AS a, coalesce(lang, '') AS v FROM documents UNION ALL SELECT doc_id, 'source', coalesce(source, '') FROM documents UNION ALL SELECT doc_id, 'sizes', unnest([(n_chars // 1000)::VARCHAR, (n_chars % 3)::VARCHAR]) FROM documents),
+wh AS (SELECT a, v, count(*) AS n FROM av GROUP BY ALL)"""
+
+
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = F.array(F.expr("n_chars div 1000"), F.col("n_chars") % 3)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", sizes.alias("sizes"))
+
 
+def _imbalance_sql(drawn: str, share: str) -> str:
+    """Of draws (draw, id), all attribute values counted, those that a draw lacks too."""
+    return f"""cn AS (SELECT draw, a, v, count(*) AS n FROM {drawn} JOIN av USING (id) GROUP BY ALL), im AS (SELECT draw, round(sum(abs(coalesce(cn.n, 0) - wh.n * {share})), 9) AS imbalance FROM (SELECT DISTINCT draw FROM {drawn}) CROSS JOIN wh LEFT JOIN cn USING (draw, a, v) GROUP BY draw)"""
 
-@query("imbalance", "SELECT round(sum(abs(dev - share * n)), 6) AS imbalance FROM (SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 5 = 0) AS dev, sum(count(*) FILTER (doc_id % 5 = 0)) OVER () / sum(count(*)) OVER () AS share FROM documents GROUP BY lang)")
+
+@query("imbalance", f"WITH {_STRATA}, dr AS (SELECT doc_id % 5 AS draw, doc_id AS id FROM documents), {_imbalance_sql('dr', '0.2::DOUBLE')} SELECT draw, round(imbalance, 6) AS imbalance FROM im")
 def imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id") % 5 == 0).alias("dev"))
-    share = c.agg((F.sum("dev") / F.sum("n")).alias("share"))
-    return c.join(share, how="cross").agg(F.round(F.sum(F.abs(F.col("dev") - F.col("share") * F.col("n"))), 6).alias("imbalance"))
+    items = _strata(spark, sf_dir)
+    drawn = items.select((F.col("id") % 5).alias("draw"), "id")
+    return K.imbalance(drawn, K.attributes(items, ["lang", "source", "sizes"]), 0.2).withColumn("imbalance", F.round("imbalance", 6))
+
 
+@query(
+    "choose_dev",
+    f"""WITH {_QUOTAS}, {_STRATA}, ea AS (SELECT doc_id AS id, lang AS kind, unnest(range(25)) AS draw FROM documents),
+od AS (SELECT *, row_number() OVER (PARTITION BY draw, kind ORDER BY md5(concat_ws(':', '7', draw::VARCHAR, id::VARCHAR))) AS place FROM ea), dr AS (SELECT draw, id FROM od JOIN quotas USING (kind) WHERE place <= quota),
+{_imbalance_sql('dr', '(20.0::DOUBLE / (SELECT count(*) FROM documents))')}, bs AS (SELECT * FROM im ORDER BY imbalance, draw LIMIT 1) SELECT id, draw::BIGINT AS draw, round(imbalance, 6) AS imbalance FROM dr JOIN bs USING (draw)""",
+)
+def choose_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = K.choose_dev(_strata(spark, sf_dir), "lang", ["lang", "source", "sizes"], 20, 25, 7)
+    return chosen.select("id", F.col("draw").cast("long").alias("draw"), F.round("imbalance", 6).alias("imbalance"))
 
-@query("content_fingerprint", "SELECT sha256(string_agg(sha256(concat_ws(chr(31), item_id::VARCHAR, text)), '' ORDER BY item_id)) AS sha256 FROM benchmark")
+
+@query(
+    "content_fingerprint",
+    """WITH d AS (SELECT sha256(concat_ws(chr(31), item_id::VARCHAR, item_id::VARCHAR, text)) AS d FROM benchmark), b AS (SELECT substr(d, 1, 1) AS b, sha256(string_agg(d, '' ORDER BY d)) AS s FROM d GROUP BY 1)
+SELECT sha256(string_agg(b || s, '' ORDER BY b)) AS sha256 FROM b""",
+)
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.fingerprint(table(spark, sf_dir, "benchmark"), "item_id", ["item_id", "text"])
 

@@ -99,14 +99,15 @@ def _bow_sql(source: str, key: str, name: str) -> str:
 BOW = f"{_bow_sql('documents', 'doc_id', 'bd')}, {_bow_sql('benchmark', 'item_id', 'bq')}, bow AS (SELECT bq.id AS query_id, bd.id AS chunk_id, list_dot_product(bd.vector, bq.vector) AS score FROM bd, bq)"
 
 
-def bow_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = R.embed_words(chunks(spark, sf_dir), "chunk_id")
-    return R.dense_scores(docs, R.embed_words(questions(spark, sf_dir), "query_id"))
+def bow_scores(spark: SparkSession, sf_dir: str, k: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    some = chunks(spark, sf_dir)
+    docs = R.embed_words(some if allowed is None else some.join(allowed, "chunk_id", "left_semi"), "chunk_id")
+    return R.dense_scores(docs, R.embed_words(questions(spark, sf_dir), "query_id"), k)
 
 
 @query("bow_embed_dense_topk", f"WITH {BOW} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ({ranked_sql('bow', 8)})")
 def bow_embed_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(R.top_k(bow_scores(spark, sf_dir), 8))
+    return shown(R.top_k(bow_scores(spark, sf_dir, 8), 8))
 
 
 FUSED = f"""ra AS ({ranked_sql('{a}', 30)}), rb AS ({ranked_sql('{b}', 30)}),
@@ -121,13 +122,13 @@ def _with_ranks(frame: DataFrame) -> list:
 @query("rrf_fusion", f"WITH {BM25}, {BOW}, {FUSED.format(a='bm25', b='bow')} SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank, dense_rank FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = R.top_k(R.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir)), 30).withColumn("method", F.lit("bm25"))
-    b = R.top_k(bow_scores(spark, sf_dir), 30).withColumn("method", F.lit("dense"))
+    b = R.top_k(bow_scores(spark, sf_dir, 30), 30).withColumn("method", F.lit("dense"))
     fused = R.fuse(a.unionByName(b))
     return fused.select("query_id", "chunk_id", F.round("score", 6).alias("score"), *_with_ranks(fused))
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, allowed: DataFrame | None = None) -> DataFrame:
-    scored = {"bm25": R.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir)), "dense": bow_scores(spark, sf_dir)}
+    scored = {"bm25": R.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir)), "dense": bow_scores(spark, sf_dir, 30, allowed)}
     out = R.hybrid(scored, 8, allowed=allowed)
     return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), *_with_ranks(out))
 

@@ -11,11 +11,11 @@ from .registry import query, table
 
 #: Understood by Spark and DuckDB alike.
 DIRTY = """CASE conv_id % 5
-  WHEN 0 THEN concat('- ', substr(text, 1, 40), '? - ', substr(text, 41, 40), ' - ')
-  WHEN 1 THEN concat('"  ', substr(text, 1, 60), ' ls it AlDS.She l said VlP ')
-  WHEN 2 THEN concat('-900 ', substr(text, 1, 50), ' --')
-  WHEN 3 THEN concat('“', substr(text, 1, 30), '’’NewYork… — ¡¦ ')
-  ELSE concat('- -  ', substr(text, 1, 30), '  x') END"""
+  WHEN 0 THEN concat('- ', text, '? - ', text, ' - ')
+  WHEN 1 THEN concat('"  ', text, ' lf so BAlL.Then l saw ClTY  ', text)
+  WHEN 2 THEN concat('-41 ', text, ' --')
+  WHEN 3 THEN concat('“', text, '’’ NewYork… — ¡¦ ', text)
+  ELSE concat('- -  ', text, '  y') END"""
 DIRTY_SQL = f"SELECT conv_id, turn, role, {DIRTY} AS raw FROM conversations"
 
 WORD, OTHER = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"

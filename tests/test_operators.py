@@ -1,8 +1,11 @@
 """Small cases of the engine's operators."""
 
 import json
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,9 +25,9 @@ def one(spark, value, f):
 @pytest.mark.parametrize(
     ("rule", "value", "wanted"),
     [
-        (T.leading_dash, "-900 is", "-900 is"), (T.leading_dash, "- 900 is", "900 is"), (T.leading_dash, "- - no", "no"), (T.leading_dash, "--", "--"),
-        (T.trailing_dash, "you know? -", "you know?"), (T.trailing_dash, "I --", "I --"), (T.caps_l, "AlDS and VlP, Al", "AIDS and VIP, Al"), (T.l_as_i, "am l? ls él", "am I? Is él"),
-        (T.missing_space, "show.She", "show. She"), (T.plain_typography, "it’’s", 'it"s'), (T.collapse_whitespace, " a \n b ", "a b"), (T.match_form, "Don't. Stop—now", "dont stop now"),
+        (T.leading_dash, "-41 below", "-41 below"), (T.leading_dash, "- 41 below", "41 below"), (T.leading_dash, "-  - wait", "wait"), (T.leading_dash, "---", "---"),
+        (T.trailing_dash, "was it rain? -", "was it rain?"), (T.trailing_dash, "so she --", "so she --"), (T.caps_l, "BAlL in ClTY, Bl", "BAIL in CITY, Bl"), (T.l_as_i, "may l? lf öl", "may I? If öl"),
+        (T.missing_space, "rain.Then", "rain. Then"), (T.plain_typography, "o’’k", 'o"k'), (T.collapse_whitespace, " q \n r ", "q r"), (T.match_form, "Won't. Go—later", "wont go later"),
     ],
 )
 def test_rules(spark, rule, value, wanted):
@@ -32,32 +35,41 @@ def test_rules(spark, rule, value, wanted):
 
 
 def test_turns_drop_pieces_without_content(spark):
-    rows = spark.createDataFrame([(1, "- Hello? - ... - It is me. -"), (2, " - "), (3, None)], "csv_record long, text_raw string")
+    rows = spark.createDataFrame([(1, "- Rain? - ... - By noon. -"), (2, " - "), (3, None)], "csv_record long, text_raw string")
     got = [tuple(r) for r in lines.turns(rows).orderBy("csv_record", "part").select("csv_record", "part", "n_parts", "clean_text").collect()]
-    assert got == [(1, 0, 2, "Hello?"), (1, 1, 2, "It is me.")]
+    assert got == [(1, 0, 2, "Rain?"), (1, 1, 2, "By noon.")]
 
 
-def test_pack():
-    assert chunking.pack([5] * 5, 10, 0) == [(0, 2), (2, 4), (4, 5)]
-    assert chunking.pack([4] * 5, 12, 4) == [(0, 3), (2, 5)]
-    assert chunking.pack([10, 10, 10, 100], 105, 20) == [(0, 3), (3, 4)]
-    assert chunking.pack([3, 50, 3], 10, 2) == [(0, 1), (1, 2), (2, 3)]
-    for bad in ((10, 10), (0, 0), (10, -1)):
+def cut(counts, size, overlap):
+    starts, ends = chunking.cuts(np.array(counts), size, overlap)
+    return list(zip(starts.tolist(), ends.tolist(), strict=True))
+
+
+def test_cuts_of_small_cases():
+    assert cut([2] * 6, 6, 0) == [(0, 3), (3, 6)]
+    assert cut([3] * 5, 9, 3) == [(0, 3), (2, 5)]
+    assert cut([8, 8, 70], 75, 20) == [(0, 2), (2, 3)]
+    assert cut([2, 90, 2], 8, 2) == [(0, 1), (1, 2), (2, 3)]
+    assert cut([], 8, 2) == []
+    for bad in ((7, 7), (0, 0), (7, -2)):
         with pytest.raises(ValueError):
-            chunking.pack([1], *bad)
+            cut([1], *bad)
 
 
-def test_pack_leaves_no_gap():
+def test_cuts_equal_their_definition():
+    """Of all ends and next starts, those that the rules allow, the longest window and the longest overlap win."""
     rng = random.Random(7)
     for _ in range(200):
-        counts = [rng.randint(1, 60) for _ in range(rng.randint(1, 120))]
-        size = rng.choice([16, 64, 256, 512])
-        overlap = rng.randrange(size)
-        made = chunking.pack(counts, size, overlap)
+        counts = [rng.randint(0, 60) for _ in range(rng.randint(1, 90))]
+        size = rng.choice([16, 64, 256])
+        overlap, made = rng.randrange(size), cut(counts, size, rng.randrange(size))
+        made = cut(counts, size, overlap)
         assert made[0][0] == 0 and made[-1][1] == len(counts)
-        for (a, b), (c, d) in zip(made, made[1:], strict=False):
-            assert a < c <= b < d and sum(counts[c:b]) <= overlap
-        assert all(b - a == 1 or sum(counts[a:b]) <= size for a, b in made)
+        for n, (a, b) in enumerate(made):
+            assert b == max(e for e in range(a + 1, len(counts) + 1) if e == a + 1 or sum(counts[a:e]) <= size)
+            if b < len(counts):
+                room = min(overlap, size - counts[b])
+                assert made[n + 1][0] == min([t for t in range(a + 1, b) if sum(counts[t:b]) <= room], default=b)
 
 
 def test_greedy_boundaries():
@@ -117,10 +129,10 @@ def test_rows_from_records(spark):
 
 def test_labels(spark):
     tidy = lambda v: one(spark, v, lambda c: speakers.tidy_label(c)["text"])
-    assert (tidy("Woman # 1"), tidy("Woman1"), tidy("(All)"), tidy("2nd NYSE Official")) == ("Woman 1", "Woman 1", "All", "2nd NYSE Official")
-    assert one(spark, "CArrie", speakers.casing_errors) == 1
-    counts = spark.createDataFrame([("CArrie", 9), ("Carrie", 2)], "name string, n long")
-    assert [tuple(r) for r in speakers.case_map(counts).collect()] == [("CArrie", "Carrie")]
+    assert (tidy("Guard # 7"), tidy("Guard7"), tidy("(Choir)"), tidy("3rd DOCK Hand")) == ("Guard 7", "Guard 7", "Choir", "3rd DOCK Hand")
+    assert one(spark, "MOnika", speakers.casing_errors) == 1
+    counts = spark.createDataFrame([("MOnika", 9), ("Monika", 2)], "name string, n long")
+    assert [tuple(r) for r in speakers.case_map(counts).collect()] == [("MOnika", "Monika")]
 
 
 def test_items():
@@ -131,10 +143,76 @@ def test_items():
         evalset.parse_items([{"id": "a", "question": "?", **span, "targets": []}, {"id": "b", "question": "?", "season": True, "episode": 1, "source_row_start": 1}])
 
 
-def test_split_is_reproducible():
-    strata = {f"i{n:02}": {"question_type": f"t{n % 3}", "style": n % 2, "seasons": [n % 4], "targets": "single", "overlap": "low"} for n in range(30)}
-    assert evalset.choose_dev(strata, 5, 9, 50) == evalset.choose_dev(strata, 5, 9, 50)
-    assert evalset.choose_dev(strata, 5, 9, 50)[1] >= evalset.choose_dev(strata, 5, 9, 400)[1]
+def test_split(spark):
+    rows = [(f"i{n:02}", f"t{n % 3}", str(n % 2), [n % 4, n % 5]) for n in range(30)]
+    items = spark.createDataFrame(rows, "id string, question_type string, style string, seasons array<int>")
+    chosen = lambda draws: [tuple(r) for r in evalset.choose_dev(items.repartition(3), "question_type", ["style", "seasons"], 9, draws, 5).orderBy("id").collect()]
+    few, many = chosen(5), chosen(40)
+    assert few == chosen(5) and len(few) == 9 and many[0][2] <= few[0][2]
+    kinds = Counter(dict((r[0], r[1]) for r in rows)[i] for i, _, _ in many)
+    assert set(kinds.values()) == {3}
+    whole = Counter(("style", r[2]) for r in rows) + Counter(("seasons", str(v)) for r in rows for v in r[3])
+    own = Counter(("style", r[2]) for r in rows if r[0] in {m[0] for m in many}) + Counter(("seasons", str(v)) for r in rows if r[0] in {m[0] for m in many} for v in r[3])
+    assert many[0][2] == pytest.approx(sum(abs(own[k] - 0.3 * n) for k, n in whole.items()))
+    with pytest.raises(EvaluationError):
+        evalset.choose_dev(items, "question_type", ["style"], 30, 3, 5)
+
+
+def test_checks_and_reports(spark):
+    lines = spark.createDataFrame([(1, r, f"Row {r} tells of a rare zebra." if r == 2 else f"row {r}") for r in range(5)], "ep int, source_row int, clean_text string")
+    spans = spark.createDataFrame([("a", 0, 1, 1, 2), ("a", 1, 1, 3, 9), ("b", 0, 7, 0, 0), ("c", 0, 1, 0, 0)], "query_id string, target int, ep int, start int, end int")
+    statuses = spark.createDataFrame([("a", 0, "ok"), ("c", 0, "moved")], "query_id string, target int, status string")
+    assert sorted(tuple(r) for r in evalset.check_spans(spans, lines, statuses).collect()) == [("a", 1, "rows beyond the episode"), ("b", 0, "unknown episode"), ("c", 0, "quote outside its rows")]
+    texts = {r.query_id: r.text for r in evalset.scored_text(spans, lines).collect()}
+    assert texts == {"a": "row 1 Row 2 tells of a rare zebra. row 3 row 4", "c": "row 0"}
+    pairs = spark.createDataFrame([("a", "Which zebra is rare?", texts["a"])], "id string, q string, t string")
+    rare = evalset.rare_words(lines.withColumn("g", F.col("source_row")), "g", "clean_text", 1)
+    assert evalset.shared_rare_words(pairs, "q", "t", rare).first().words == ["rare", "zebra"]
+    items = spark.createDataFrame([("a", "who", "plain"), ("b", "why", "odd")], "id string, question_type string, style string")
+    strata = evalset.item_strata(items, spark.createDataFrame([("a", 0, 2), ("a", 1, 1)], "query_id string, target int, season int"), spark.createDataFrame([("a", 0.9), ("b", None)], "id string, overlap double"))
+    got = {r.id: (r.seasons, r.targets, r.overlap) for r in strata.collect()}
+    assert got == {"a": ([1, 2], "multi", "high"), "b": (None, None, "n/a")}
+    counts = {(r.measure, r.value): r.n for r in evalset.distribution(strata, spans).collect()}
+    assert counts["season", "1"] == 1 and counts["targets", "2"] == 1 and counts["span_rows", "7"] == 1 and counts["style", "odd"] == 1
+    report = evalset.overlap_report(spark.createDataFrame([("who", 0.1, 1), ("who", None, 0)], "question_type string, overlap double, n_rare int")).first()
+    assert (report.low, report.n_a, report.hooked) == (1, 1, 0.5)
+
+
+def test_epsilon_keeps_frequent_terms(spark):
+    docs = spark.createDataFrame([(i, "common" + (" odd" if i == 3 else f" w{i}")) for i in range(6)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "common")], "query_id long, text string")
+    idf = [math.log(6 - n + 0.5) - math.log(n + 0.5) for n in (6, *[1] * 6)]
+    got = retrieval.bm25_scores(docs, asked, Retrieval(epsilon=0.25)).collect()
+    assert len(got) == 6 and got[0].score == pytest.approx(0.25 * sum(idf) / len(idf), abs=1e-9)
+
+
+def test_retrievers(spark):
+    docs = spark.createDataFrame([(i, f"w{i} shared", ["a" if i % 2 else "b"], i) for i in range(7)], "chunk_id long, text string, speakers array<string>, source_row_start long")
+    vectors = retrieval.embed_words(docs, "chunk_id").join(docs.select("chunk_id", "speakers"), "chunk_id")
+    asked = spark.createDataFrame([(1, "w3"), (2, "w4 w5")], "query_id long, text string")
+    asked = asked.join(retrieval.embed_words(asked, "query_id"), "query_id")
+    made = retrieval.build_retrievers(["bm25", "dense", "hybrid"], docs, vectors)
+    for r in made.values():
+        top = {x.query_id: x.chunk_id for x in r.search(asked, 3).filter("rank = 1").collect()}
+        assert top[1] == 3 and top[2] in (4, 5)
+    only = made["hybrid"].search(asked, 9, retrieval.Filters(speakers=("a",))).collect()
+    assert {x.chunk_id for x in only} <= {1, 3, 5} and all(x.components for x in only)
+    assert retrieval.result(made["bm25"].search(asked, 1), docs, text=False).first().source_row_start == 3
+    exact = {(r.query_id, r.chunk_id): r.score for r in retrieval.dense_scores(vectors, asked, block=2).collect()}
+    best = {(r.query_id, r.chunk_id): r.score for r in retrieval.dense_scores(vectors, asked, 2, block=3).collect()}
+    assert len(exact) == 14 and all(exact[k] == pytest.approx(v, abs=1e-12) for k, v in best.items())
+    with pytest.raises(ConfigurationError):
+        retrieval.build_retrievers(["sparse"], docs)
+    with pytest.raises(ArtifactError):
+        retrieval.build_retrievers(["hybrid"], docs)
+
+
+def test_reopened_and_report(spark):
+    rows = spark.createDataFrame([(0, 1, 1), (1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 2)], "csv_record long, season int, episode int")
+    assert [r.csv_record for r in repair.reopened(rows, ["season", "episode"], "csv_record").orderBy("csv_record").collect()] == [3, 4]
+    full = rows.withColumn("fixes", F.array(F.lit("unpacked_tuple_row"))).withColumn("filled", F.when(F.col("csv_record") == 1, "filled").otherwise("kept")).withColumn("reconstructed", F.col("csv_record") > 2)
+    got = {r.fact: r.n for r in repair.load_report(full, rows.limit(0), rows.limit(2)).collect()}
+    assert got == {"rows": 5, "failed": 0, "unresolved": 2, "unpacked_tuple_row": 5, "filled_episode_ids": 1, "reconstructed_source_row": 2}
 
 
 def test_guard(spark):
