@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import uuid
 from collections.abc import Callable
@@ -102,6 +103,40 @@ class Scratch:
         self._made = []
 
 
+class Bitmap:
+    """Which 64-bit hashes may be among those of a table: two bits for each, in one array that rows are tested against.
+
+    It only prunes what a join then decides, so its size is bounded whatever the table's: ``per`` bits a
+    hash, ``least`` at least and ``most`` at most (powers of two; 8 MB as it stands).
+    """
+
+    def __init__(self, hashes: DataFrame, scratch: Scratch, per: int = 64, least: int = 1 << 18, most: int = 1 << 26) -> None:
+        """``hashes`` has one column, h."""
+        n = hashes.count()
+        self.bits = min(most, max(least, 1 << math.ceil(math.log2(max(1, per * n)))))
+        low, high = self._places(F.col("h"))
+        bit = hashes.select(F.explode(F.array(low, high)).alias("bit"))
+        ones = bit.select(F.shiftright("bit", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int")).alias("v"))
+        zeros = hashes.sparkSession.range(self.bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
+        words = ones.unionByName(zeros).groupBy("w").agg(F.bit_or("v").alias("v"))
+        self.table = scratch.keep(words.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words")), "bitmap")
+
+    def _places(self, h: Column) -> tuple[Column, Column]:
+        return h.bitwiseAND(F.lit(self.bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(self.bits - 1))
+
+    def has(self, h: Column) -> Column:
+        words = self.table.scalar()
+        test = lambda bit: F.bit_get(F.get(words, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+        low, high = self._places(h)
+        return F.coalesce(test(low) & test(high), F.lit(False))
+
+
+def without(docs: DataFrame, hashed: Column, same: Callable[[DataFrame], Column], gone: DataFrame, bitmap: Bitmap) -> DataFrame:
+    """The rows that match none of ``gone``. Only rows whose hash is in its bitmap are shuffled for the join; the others pass as they stand."""
+    maybe = bitmap.has(hashed)
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, same(gone), "left_anti"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

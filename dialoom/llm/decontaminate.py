@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from .common import Bitmap, Scratch, let, without
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def _place(at: Column, size: Column, masks: list[str]) -> tuple[Column, Column]:
     return number, out
 
 
-def seeds(frame: DataFrame, config: SeedConfig, masks: list[str], bitmap: tuple[DataFrame, int] | None = None) -> DataFrame:
+def seeds(frame: DataFrame, config: SeedConfig, masks: list[str], bitmap: Bitmap | None = None) -> DataFrame:
     """``frame`` (_key, _text) to one row (_key, _len, mask, position, seed, around) for each seed, of those in the bitmap if there is one.
 
     The bitmap is tested between the generator and the projection that copies tokens, so only hits are ever built.
@@ -89,9 +89,7 @@ def seeds(frame: DataFrame, config: SeedConfig, masks: list[str], bitmap: tuple[
     both = let(tokens(F.col("_text")), lambda t: F.struct(t.alias("t"), _hashes(t, masks).alias("h")))
     each = frame.select("_key", both.alias("_b")).select("_key", F.col("_b.t").alias("_t"), F.posexplode("_b.h").alias("_at", "seed"))
     if bitmap is not None:
-        words, bits = bitmap[0].scalar(), bitmap[1]
-        test = lambda bit: F.bit_get(F.get(words, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
-        each = each.filter(test(F.col("seed").bitwiseAND(F.lit(bits - 1))) & test(F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(bits - 1))))
+        each = each.filter(bitmap.has(F.col("seed")))
     number, position = _place(F.col("_at"), F.size("_t"), masks)
     return each.select("_key", F.size("_t").alias("_len"), number.alias("mask"), position.alias("position"), "seed", _around(F.col("_t"), position, config).alias("around"))
 
@@ -115,26 +113,14 @@ def item_seeds(benchmark: DataFrame, config: SeedConfig, scratch: Scratch) -> tu
     return scratch.keep(made.filter(wanted).select(F.col("_key").alias("item_id"), need.alias("need"), "seed", F.col("around").alias("_of_item")), "known"), masks
 
 
-def _bitmap(seeds: DataFrame, bits: int) -> DataFrame:
-    """One row, one array of 64-bit words: two bits set for each seed."""
-    low, high = F.col("seed").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(bits - 1))
-    bit = seeds.select(F.explode(F.array(low, high)).alias("bit"))
-    ones = bit.select(F.shiftright("bit", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int")).alias("v"))
-    zeros = seeds.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
-    words = ones.unionByName(zeros).groupBy("w").agg(F.bit_or("v").alias("v"))
-    return words.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words"))
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = SeedConfig(), scratch: Scratch | None = None, key: Column | None = None) -> DataFrame:
     """(key, item_id, n_equal, n_hits): for each document (``key``, doc_id unless given) and item that overlap."""
     scratch = scratch or Scratch(docs.sparkSession, "seeds")
     key = F.col("doc_id") if key is None else key
     known, masks = item_seeds(benchmark, config, scratch)
-    n = known.count()
-    bits = min(config.most_bits, max(config.least_bits, 1 << math.ceil(math.log2(max(1, 64 * n)))))
-    bitmap = scratch.keep(_bitmap(known.select("seed"), bits), "bitmap")
+    bitmap = Bitmap(known.select(F.col("seed").alias("h")), scratch, 64, config.least_bits, config.most_bits)
 
-    hits = seeds(docs.select(key.alias("_key"), F.col("text").alias("_text")), config, masks, (bitmap, bits)).select("_key", "seed", F.col("around").alias("_of_doc"))
+    hits = seeds(docs.select(key.alias("_key"), F.col("text").alias("_text")), config, masks, bitmap).select("_key", "seed", F.col("around").alias("_of_doc"))
     equal = F.zip_with("_of_doc", "_of_item", lambda a, b: F.when(a == b, 1).otherwise(0))
     best = let(equal, lambda e: F.array_max(F.transform(F.sequence(F.lit(0), F.size(e) - config.window), lambda i: F.aggregate(F.slice(e, i + 1, config.window), F.lit(0), lambda a, x: a + x))))
     joined = hits.join(known, "seed").select("_key", "item_id", "need", best.alias("n_equal")).filter("n_equal >= need")
@@ -150,6 +136,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = Se
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     found = overlaps(docs, benchmark, config, scratch, F.sha2(F.col("text"), 256)).select(F.col("key").alias("_digest")).distinct()
     found = scratch.keep(found, "found")
-    scratch.drop_but(found)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return rows.join(found, F.sha2(F.col("_row.text"), 256) == F.col("_digest"), "left_anti").select("_row.*")
+    hashed = lambda digest: F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    bitmap = Bitmap(found.select(hashed(F.col("_digest")).alias("h")), scratch)
+    scratch.drop_but(found, bitmap.table)
+    rows, digest = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), F.sha2(F.col("_row.text"), 256)
+    return without(rows, hashed(digest), lambda gone: digest == gone["_digest"], found, bitmap).select("_row.*")

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytehash import blocks, mixed, numbers, range_hashes
-from .common import Scratch, ship_by_value
+from .common import Bitmap, Scratch, ship_by_value, without
 
 ship_by_value(__name__)
 
@@ -408,9 +408,10 @@ def near_links(heads: DataFrame, texts: DataFrame, config: NearConfig, scratch:
     """(doc, comp) of the representatives (doc, sig) that are linked with others."""
     active = postings(heads, config, scratch)
     wanted = scratch.keep(active.select("doc").distinct(), "wanted")
-    chosen = texts.join(wanted, texts["doc_id"] == wanted["doc"], "left_semi")
+    near = Bitmap(wanted.select(F.xxhash64("doc").alias("h")), scratch, 16)  # so that few texts are shuffled
+    chosen = texts.filter(near.has(F.xxhash64("doc_id"))).join(wanted, texts["doc_id"] == wanted["doc"], "left_semi")
     sets = scratch.keep(chosen.mapInArrow(lambda b: _sets(b, config), "doc long, shingles array<long>"), "sets")
-    scratch.drop(wanted)
+    scratch.drop(wanted, near.table)
     comps = heads.sparkSession.createDataFrame([], "doc long, comp long")
     last = len(config.leaders)
     for turn in range(last + 1):
@@ -480,15 +481,17 @@ def near_dedup(docs: DataFrame, config: NearConfig = NearConfig(), scratch: Scra
     hash of all columns).
     """
     scratch = scratch or Scratch(docs.sparkSession, "near")
-    result = near_duplicates(docs, config, scratch).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = scratch.keep(result.select(F.col("doc_id").alias("_kept_id"), (F.col("n") > 1).alias("_several")), "kept")
-    scratch.drop_but(kept)
-    out = docs.join(kept.filter("not _several"), docs["doc_id"] == kept["_kept_id"], "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
-    several = kept.filter("_several")
+    ids = near_duplicates(docs, config, scratch).filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    special = scratch.keep(ids.filter("not kept or n > 1").select(F.col("doc_id").alias("_id"), (F.col("kept") & (F.col("n") > 1)).alias("_several")), "special")
+    bitmap = Bitmap(special.select(F.xxhash64("_id").alias("h")), scratch, 16)
+    scratch.drop_but(special, bitmap.table)
+    hashed = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long")))
+    out = without(docs, hashed, lambda gone: docs["doc_id"] == gone["_id"], special.select("_id"), bitmap)
+    several = special.filter("_several")
     if several.isEmpty():
         return out
     # Maps have no hash; rows that differ in maps alone are taken as equal.
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    rows = docs.join(several, docs["doc_id"] == several["_kept_id"], "left_semi")
-    whole = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.sha2("text", 256), F.xxhash64(*plain))).alias("_row"))
+    rows = docs.join(several, docs["doc_id"] == several["_id"], "left_semi")
+    whole = rows.groupBy(F.col("doc_id").alias("_key")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.sha2("text", 256), F.xxhash64(*plain))).alias("_row"))
     return out.unionByName(whole.select("_row.*"))
