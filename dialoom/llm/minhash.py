@@ -17,10 +17,10 @@ against them, what is retained is verified, and links are merged into components
 documents are all in one component is done, and so are its leaders. In the documents of the others,
 shingles that only one of them has bound every similarity from above: a document with too many leaves,
 and pairs with too many are passed over. Then a list of at most ``small`` documents compares all its
-pairs from different components; a longer one names 8, then 32 leaders from its smallest components,
-and what it still has is compared in blocks: the documents outside its largest component, in blocks of
-bounded size, against all of its documents. Lists that overlap so much that their union takes fewer
-comparisons than they do are compared as one. After that each two documents of a list were compared, are
+pairs from different components. Longer ones that overlap so much that their union takes fewer
+comparisons than they do become one list; a long list names 8, then 32 leaders from its smallest
+components, and what it still has is compared in blocks: the documents outside its largest component,
+in blocks of bounded size, against all of its documents. After that each two documents of a list were compared, are
 in one component or too far apart, so four rounds do at any size.
 Verification streams the sets of the one side past an index of the other's, dealt by leader and salt
 (or block), so that no leader, list or component meets in one task.
@@ -369,7 +369,7 @@ def _compared(rows: DataFrame, sets: DataFrame, config: NearConfig) -> DataFrame
 
 
 def _joined(labeled: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame:
-    """Rows (tok, doc, comp, size) of long lists, with each set of connected lists made one where that takes fewer comparisons."""
+    """Rows (tok, doc, comp, low, size, own) of long lists, with each set of connected lists made one where that takes fewer comparisons."""
     heads = labeled.groupBy("tok").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n"))
     net = components(labeled.join(heads, "tok").select(F.col("doc").alias("a"), F.col("head").alias("b")), config, scratch)
     of_doc = labeled.select("doc").distinct().join(net.withColumnRenamed("comp", "net"), "doc", "left").select("doc", F.coalesce("net", "doc").alias("net"))
@@ -378,7 +378,7 @@ def _joined(labeled: DataFrame, config: NearConfig, scratch: Scratch) -> DataFra
     cheaper = of_doc.groupBy("net").agg(F.count(F.lit(1)).cast("double").alias("d")).join(apart, "net").filter("d * d <= apart").select("net", F.lit(True).alias("one"))
     named = labeled.join(of_doc, "doc").join(cheaper, "net", "left")
     tok = F.when(F.coalesce("one", F.lit(False)), F.xxhash64(F.lit("net"), "net")).otherwise(F.col("tok"))
-    return scratch.keep(named.select(tok.alias("tok"), "doc", "comp", "size").distinct(), "joined")
+    return scratch.keep(named.select(tok.alias("tok"), "doc", "comp", "low", "size", "own").distinct(), "joined")
 
 
 def _in_blocks(labeled: DataFrame, sets: DataFrame, config: NearConfig) -> DataFrame:
@@ -432,6 +432,8 @@ def near_links(heads: DataFrame, texts: DataFrame, config: NearConfig, scratch:
             long = labeled.filter(F.col("many") > config.small)
             few = labeled.filter(F.col("many") <= config.small).select("tok", "doc", "comp", "low", "size", "own").repartition("tok").sortWithinPartitions("tok")
             pairs = few.mapInArrow(lambda b: _paired(b, config), "lead long, doc long, lead_comp long, comp long")
+        if turn == min(1, last):
+            long = _joined(long, config, scratch)
         if turn < last:
             known = [c for c in ("size", "own") if c in labeled.columns]
             of_comp = long.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc").alias("order"), "doc", "low", *known)).alias("lead"))
@@ -446,7 +448,7 @@ def near_links(heads: DataFrame, texts: DataFrame, config: NearConfig, scratch:
             pairs = met if pairs is None else pairs.unionByName(met)
             rest = scratch.keep(long.join(leaders.select("tok", F.col("lead").alias("doc")), ["tok", "doc"], "left_anti").select("tok", "doc", "low", *known), "rest")
         else:
-            links = links.unionByName(_in_blocks(_joined(long, config, scratch), sets, config))
+            links = links.unionByName(_in_blocks(long, sets, config))
         if pairs is not None:
             links = links.unionByName(_verified(pairs, sets, config, scratch))
         found = components(links, config, scratch)
