@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 
 from .common import ship_by_value
 
@@ -63,3 +65,17 @@ def blocks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]
         size += len(t) + 1
     if start < len(texts):
         yield start, len(texts)
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function``, after which the worker, which lives on for other tasks, gives the memory of this one back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run

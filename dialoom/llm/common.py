@@ -103,6 +103,14 @@ class Scratch:
         self._made = []
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of at most so many bytes: rows with long texts or large sets would fill batches of 10,000 rows with hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
+
+
 class Bitmap:
     """Which 64-bit hashes may be among those of a table: two bits for each, in one array that rows are tested against.
 

@@ -45,8 +45,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bytehash import blocks, mixed, numbers, range_hashes
-from .common import Bitmap, Scratch, ship_by_value, without
+from .bytehash import blocks, lean, mixed, numbers, range_hashes
+from .common import Bitmap, Scratch, bound_batches, ship_by_value, without
 
 ship_by_value(__name__)
 
@@ -307,7 +307,7 @@ def components(links: DataFrame, config: NearConfig, scratch: Scratch) -> DataFr
     """
     links = scratch.keep(links.select("a", "b").filter("a <> b"), "links")
     if links.count() <= config.last_links:
-        comps = scratch.keep(links.repartition(1).mapInArrow(_unions, "doc long, comp long"), "comps")
+        comps = scratch.keep(links.repartition(1).mapInArrow(lean(_unions), "doc long, comp long"), "comps")
         scratch.drop(links)
         return comps
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -348,7 +348,7 @@ def postings(heads: DataFrame, config: NearConfig, scratch: Scratch) -> DataFram
     by = Window.partitionBy("doc")
     ranked = every.join(shared(every), "tok").withColumn("rank", F.row_number().over(by.orderBy("n", "tok"))).withColumn("all", F.count(F.lit(1)).over(by))
     prefix = ranked.filter(F.col("rank") <= F.col("all") - (config.least - 1)).select("tok", "doc")
-    posts = scratch.keep(prefix.join(open_.mapInArrow(_low, "doc long, low binary"), "doc").select("tok", "doc", "low"), "posts")
+    posts = scratch.keep(prefix.join(open_.mapInArrow(lean(_low), "doc long, low binary"), "doc").select("tok", "doc", "low"), "posts")
     scratch.drop(near, open_)
     return posts
 
@@ -365,7 +365,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, config: NearConfig, scratch: Sc
 def _compared(rows: DataFrame, sets: DataFrame, config: NearConfig) -> DataFrame:
     """Links of rows (k1, k2, side, doc, comp) between the two sides of each key."""
     full = rows.join(sets, "doc").select("k1", "k2", "side", "doc", "comp", "shingles")
-    return full.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "side").mapInArrow(lambda b: _against(b, config), "a long, b long")
+    return full.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "side").mapInArrow(lean(lambda b: _against(b, config)), "a long, b long")
 
 
 def _joined(labeled: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame:
@@ -410,7 +410,7 @@ def near_links(heads: DataFrame, texts: DataFrame, config: NearConfig, scratch:
     wanted = scratch.keep(active.select("doc").distinct(), "wanted")
     near = Bitmap(wanted.select(F.xxhash64("doc").alias("h")), scratch, 16)  # so that few texts are shuffled
     chosen = texts.filter(near.has(F.xxhash64("doc_id"))).join(wanted, texts["doc_id"] == wanted["doc"], "left_semi")
-    sets = scratch.keep(chosen.mapInArrow(lambda b: _sets(b, config), "doc long, shingles array<long>"), "sets")
+    sets = scratch.keep(chosen.mapInArrow(lean(lambda b: _sets(b, config)), "doc long, shingles array<long>"), "sets")
     scratch.drop(wanted, near.table)
     comps = heads.sparkSession.createDataFrame([], "doc long, comp long")
     last = len(config.leaders)
@@ -431,7 +431,7 @@ def near_links(heads: DataFrame, texts: DataFrame, config: NearConfig, scratch:
         if turn:
             long = labeled.filter(F.col("many") > config.small)
             few = labeled.filter(F.col("many") <= config.small).select("tok", "doc", "comp", "low", "size", "own").repartition("tok").sortWithinPartitions("tok")
-            pairs = few.mapInArrow(lambda b: _paired(b, config), "lead long, doc long, lead_comp long, comp long")
+            pairs = few.mapInArrow(lean(lambda b: _paired(b, config)), "lead long, doc long, lead_comp long, comp long")
         if turn == min(1, last):
             long = _joined(long, config, scratch)
         if turn < last:
@@ -444,7 +444,7 @@ def near_links(heads: DataFrame, texts: DataFrame, config: NearConfig, scratch:
             if known:
                 most = F.least(F.col("size") - F.col("own"), F.col("lead_size") - F.col("lead_own"))
                 met = met.filter(most * 100 >= (F.col("size") + F.col("lead_size") - most) * config.percent)
-            met = met.select("lead", "doc", "lead_low", "low", "lead_comp", "comp").mapInArrow(lambda b: _counted(b, config), "lead long, doc long, lead_comp long, comp long")
+            met = met.select("lead", "doc", "lead_low", "low", "lead_comp", "comp").mapInArrow(lean(lambda b: _counted(b, config)), "lead long, doc long, lead_comp long, comp long")
             pairs = met if pairs is None else pairs.unionByName(met)
             rest = scratch.keep(long.join(leaders.select("tok", F.col("lead").alias("doc")), ["tok", "doc"], "left_anti").select("tok", "doc", "low", *known), "rest")
         else:
@@ -463,8 +463,9 @@ def near_links(heads: DataFrame, texts: DataFrame, config: NearConfig, scratch:
 def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig(), scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     scratch = scratch or Scratch(docs.sparkSession, "near")
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = scratch.keep(texts.mapInArrow(lambda b: _sketch(b, config), "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>"), "sketches")
+    sketches = scratch.keep(texts.mapInArrow(lean(lambda b: _sketch(b, config)), "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>"), "sketches")
     live = sketches.filter("doc_id is not null and n_shingles > 0")
     classes = scratch.keep(live.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     heads = live.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", "k1", "k2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "k1", "k2", "n_shingles"]).select(F.col("doc_id").alias("doc"), "sig")
