@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialogue_queries, evaluation_queries, repair_queries, retrieval_queries, text_queries  # noqa: F401
+from . import dialogue_queries, evaluation_queries, repair_queries, retrieval_queries, text_queries, validation_queries  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

@@ -119,3 +119,39 @@ def load_index(spark: SparkSession, path: str, facts: dict) -> DataFrame:
 def file_digest(spark: SparkSession, path: str) -> str:
     """SHA-256 of one file's bytes."""
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+
+
+def check_digest(spark: SparkSession, path: str, expected: str, allow: bool = False) -> str:
+    """The digest of a file, which must be the expected one unless another is allowed."""
+    if (found := file_digest(spark, path)) != expected and not allow:
+        raise CorpusError("the file is not the known one", expected=expected, actual=found, recovery="fetch it again, or allow another")
+    return found
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def cached_indexes(spark: SparkSession, base: str) -> DataFrame:
+    """(name, status, n, dim) of the index folders in ``base``: ok, or incomplete (no manifest, or no vectors)."""
+    fs, where = _file_system(spark, base)
+    rows = []
+    for folder in fs.listStatus(where) if fs.exists(where) else []:
+        if folder.isDirectory():
+            path = folder.getPath().toString()
+            ok = all(fs.exists(_file_system(spark, f"{path}/{part}/_SUCCESS")[1]) for part in ("vectors", "manifest"))
+            facts = read_manifest(spark, f"{path}/manifest") if ok else {}
+            rows.append((folder.getPath().getName(), "ok" if ok else "incomplete", facts.get("n"), facts.get("dim")))
+    return spark.createDataFrame(rows, "name string, status string, n long, dim long")
+
+
+def write_run(spark: SparkSession, base: str, run_id: str, facts: dict, rows: DataFrame) -> str:
+    """Writes the rows of a run and its facts into a new folder, and returns that; a name in use gets -2, -3 and so on."""
+    path, n = f"{base}/{run_id}", 1
+    while (found := _file_system(spark, path)) and found[0].exists(found[1]):
+        n += 1
+        path = f"{base}/{run_id}-{n}"
+    rows.write.mode("errorifexists").parquet(f"{path}/queries")
+    _write_manifest(spark, f"{path}/run", facts | {"run_id": path.rsplit("/", 1)[-1], "spark": spark.version})
+    return path

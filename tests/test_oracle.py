@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Enough to touch every module; the driver compares all of them on a larger scale.
 CHOSEN = [
     "text_whitespace", "text_ocr_caps_l", "split_turns", "rule_summary", "bm25_topk", "bm25_filtered", "dense_filtered", "hybrid_filtered", "fill_missing_ids", "assign_source_rows", "multi_speaker",
-    "scene_boundaries", "chunk_pack_64_8", "chunk_neighbors", "find_quote", "quote_status", "span_relevance", "hit_recall_mrr", "average_by_type", "outcome_buckets", "heldout_guard", "content_fingerprint", "type_quotas", "imbalance", "choose_dev", "hybrid_topk", "lexical_overlap", "nearest_rank_percentile",
+    "scene_boundaries", "chunk_pack_64_8", "chunk_neighbors", "find_quote", "quote_status", "span_relevance", "hit_recall_mrr", "average_by_type", "outcome_buckets", "heldout_guard", "content_fingerprint", "type_quotas", "imbalance", "choose_dev", "hybrid_topk", "lexical_overlap", "nearest_rank_percentile", "scored_text", "shared_rare_words", "item_strata", "distribution", "overlap_report", "check_spans",
 ]
 
 
