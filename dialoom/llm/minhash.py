@@ -209,6 +209,10 @@ def _paired(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[p
         yield from pairs(held)
 
 
+#: Places in an index that are held at once, or those of one shingle.
+PLACES = 1 << 18
+
+
 class Index:
     """The sets of some documents, to be compared with others one after another."""
 
@@ -232,10 +236,18 @@ class Index:
         sizes = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         left, right = np.searchsorted(self.values, flat, "left"), np.searchsorted(self.values, flat, "right")
-        hits = right - left
-        row = np.repeat(np.repeat(np.arange(len(sets)), sizes), hits)
-        place = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(left, hits)
-        both = np.bincount(row * n + self.owner[place], minlength=n * len(sets)).reshape(len(sets), n)
+        ends = np.cumsum(right - left)  # of the places in the index that each shingle meets
+        row = np.repeat(np.arange(len(sets)), sizes)
+        both = np.zeros((len(sets), n), dtype=np.int64)
+        a = 0
+        while a < len(flat):  # similar documents meet in almost all shingles, so the places come in bounded parts
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PLACES, "right")))
+            hits, top = right[a:b] - left[a:b], row[a]
+            shift = left[a:b] - (np.cumsum(hits) - hits)
+            place = np.arange(hits.sum()) + np.repeat(shift, hits)
+            met = np.bincount(np.repeat((row[a:b] - top) * n, hits) + self.owner[place], minlength=(row[b - 1] - top + 1) * n)
+            both[top : row[b - 1] + 1] += met.reshape(-1, n)
+            a = b
         near = (both * 100 >= (sizes[:, None] + self.sizes[None, :] - both) * self.percent) & (both > 0) & (np.array(comps)[:, None] != self.comps[None, :])
         for i, j in zip(*np.nonzero(near), strict=True):
             x, y = self.find(int(comps[i])), self.find(int(self.comps[j]))

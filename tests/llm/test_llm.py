@@ -6,8 +6,11 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,6 +424,26 @@ def test_near_duplicates_equal_brute_force(spark, config):
     assert all(r.n_shingles == len(shingles(texts[i])) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_near_copies_in_a_block_are_compared_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(1)
+    shared, n = rng.integers(-(2**62), 2**62, 500), 400
+    sets = [np.unique(np.concatenate((shared[: 500 - i % 90], rng.integers(-(2**62), 2**62, i % 90)))) for i in range(n)]
+    sides = np.where(np.arange(n) < 256, 0, 1)
+    columns = [pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(sides.astype(np.int32)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "side", "doc", "comp", "shingles"])
+    # every pair between the sides, so that no link is left out because others join its components
+    index = minhash.Index(list(range(256)), list(range(256)), sets[:256], 85)
+    monkeypatch.setattr(index, "find", lambda x: x)
+    near = [(i, j) for i in range(256) for j in range(256, n) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - k)]
+    assert 0 < len(near) < 256 * (n - 256) and sorted(index.links(list(range(256, n)), list(range(256, n)), sets[256:])) == near
+    tracemalloc.start()
+    found = [tuple(r.values()) for out in minhash._against(iter([batch]), minhash.NearConfig()) for r in out.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found) <= set(near)
+    assert most < 100e6  # for about 15 million places in the index
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     texts = near_corpus()
     rows, want = list(enumerate(texts)), components({i: shingles(t) for i, t in enumerate(texts)})
