@@ -386,9 +386,11 @@ def _joined(labeled: DataFrame, config: NearConfig, scratch: Scratch) -> DataFra
     net = components(labeled.join(heads, "tok").select(F.col("doc").alias("a"), F.col("head").alias("b")), config, scratch)
     of_doc = labeled.select("doc").distinct().join(net.withColumnRenamed("comp", "net"), "doc", "left").select("doc", F.coalesce("net", "doc").alias("net"))
     of_doc = scratch.keep(of_doc, "nets")
-    apart = heads.join(of_doc, F.col("head") == F.col("doc")).groupBy("net").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    # a row a list, so that no task gets the documents of a net
+    of_list = scratch.keep(heads.join(of_doc, F.col("head") == F.col("doc")).select("tok", "n", "net"), "lists")
+    apart = of_list.groupBy("net").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
     cheaper = of_doc.groupBy("net").agg(F.count(F.lit(1)).cast("double").alias("d")).join(apart, "net").filter("d * d <= apart").select("net", F.lit(True).alias("one"))
-    named = labeled.join(of_doc, "doc").join(cheaper, "net", "left")
+    named = labeled.join(of_list.select("tok", "net").join(cheaper, "net", "left"), "tok")
     tok = F.when(F.coalesce("one", F.lit(False)), F.xxhash64(F.lit("net"), "net")).otherwise(F.col("tok"))
     return scratch.keep(named.select(tok.alias("tok"), "doc", "comp", "low", "size", "own").distinct(), "joined")
 

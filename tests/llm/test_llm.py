@@ -444,6 +444,42 @@ def test_near_copies_in_a_block_are_compared_in_bounded_memory(monkeypatch):
     assert most < 100e6  # for about 15 million places in the index
 
 
+def test_lists_are_joined_without_a_task_that_gets_a_net(spark, monkeypatch):
+    lists = {t: set(range(t % 4, 40 + t % 4)) for t in range(20)}  # one net, cheaper as one list
+    lists |= {100 + t: {1000 + 9 * t + i for i in range(10)} for t in range(20)}  # a chain: one net, cheaper apart
+    lists |= {200: set(range(2000, 2010)), 201: {5000}}
+    rows = [(t, d, d % 7, bytes([d % 256]), 50, 1) for t, members in lists.items() for d in members]
+    labeled = spark.createDataFrame(rows, "tok long, doc long, comp long, low binary, size long, own long")
+    scratch, deals = common.Scratch(spark, "joined"), []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            deals.append((node.outputPartitioning().toString(), node.output().mkString(",")))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    def keep(frame, name, made=scratch.keep):
+        if name == "joined":
+            walk(frame._jdf.queryExecution().executedPlan())
+        return made(frame, name)
+
+    monkeypatch.setattr(scratch, "keep", keep)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = defaultdict(list)
+        for r in minhash._joined(labeled, minhash.NearConfig(), scratch).collect():
+            got[r.tok].append(r.doc)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [sorted(range(43)), *[sorted(v) for t, v in lists.items() if t >= 100]]
+    assert sorted(sorted(x) for x in got.values()) == sorted(want)
+    assert any("hashpartitioning(net" in by for by, _ in deals)
+    assert not any("hashpartitioning(net" in by and "low#" in columns for by, columns in deals)
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     texts = near_corpus()
     rows, want = list(enumerate(texts)), components({i: shingles(t) for i, t in enumerate(texts)})
