@@ -33,14 +33,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import mixed, numbers, range_hashes
-from .common import Scratch, ship_by_value
+from .bytehash import lean, mixed, numbers, range_hashes
+from .common import Scratch, bound_batches, ship_by_value
 
 ship_by_value(__name__)
 
@@ -234,17 +235,20 @@ def _classes(batches: Iterator[pa.RecordBatch], config: RepeatConfig) -> Iterato
 
 
 def _cut(batches: Iterator[pa.RecordBatch], config: RepeatConfig) -> Iterator[pa.RecordBatch]:
-    """(doc, text, edges) to (kind, g, doc, start, before, context): the bytes of each edge's context."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for doc, text, edges in zip(*(batch.column(i) for i in range(3)), strict=True):
-            whole, name = (text.as_py() or "").encode(), doc.as_py()
-            for e in edges.as_py():
-                start, n = e["start"], e["size"] & 255
-                rows.append((e["kind"], e["g"], name, start, e["size"] >> 8, whole[start : start + n - 1 + config.length]))
-        for i in range(0, len(rows), 10_000):
-            columns = zip(zip(*rows[i : i + 10_000], strict=True), (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["kind", "g", "doc", "start", "before", "context"])
+    """(doc, text, edges) to (kind, g, doc, start, before, context): the bytes of each edge's context, at most 10,000 at once."""
+
+    def cut() -> Iterator[tuple]:
+        for batch in batches:
+            for doc, text, edges in zip(*(batch.column(i) for i in range(3)), strict=True):
+                whole, name = (text.as_py() or "").encode(), doc.as_py()
+                for edge in edges.values:
+                    e = edge.as_py()
+                    start, n = e["start"], e["size"] & 255
+                    yield e["kind"], e["g"], name, start, e["size"] >> 8, whole[start : start + n - 1 + config.length]
+
+    for rows in batched(cut(), 10_000):
+        columns = zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["kind", "g", "doc", "start", "before", "context"])
 
 
 def suffix_order(bucket: np.ndarray, strings: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,7 +355,7 @@ def hot_grams(texts: DataFrame, config: RepeatConfig) -> np.ndarray:
     """Grams that would crowd a partition, by a sample of the documents: they are dealt otherwise, with the same result. At most two for each partition."""
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = min(config.share, max(config.sample, 100 * partitions) / max(1, texts.count()))
-    seen = texts.sample(share, seed=1).mapInArrow(lambda b: _grams(b, config), "g long, c long")
+    seen = texts.sample(share, seed=1).mapInArrow(lean(lambda b: _grams(b, config)), "g long, c long")
     counts = seen.groupBy("g").agg(F.count_distinct("c").alias("n"))
     told = counts.agg(F.sum("n").alias("all"), F.collect_list(F.when(F.col("n") >= config.hot, F.struct("g", "n"))).alias("found")).first()
     least = (told["all"] or 0) * config.even / partitions
@@ -362,18 +366,22 @@ def repeated_ranges(docs: DataFrame, config: RepeatConfig, scratch: Scratch) ->
     """(doc, ranges): the byte ranges (start, n) to remove, of the documents that have any; ranges may overlap."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
     hot = hot_grams(texts, config)
-    parse = texts.mapInArrow(lambda b: _parse(b, config, hot), "g long, k long, c long, doc long, span long")
+    parse = texts.mapInArrow(lean(lambda b: _parse(b, config, hot)), "g long, k long, c long, doc long, span long")
     parse = parse.repartition("g", "k").sortWithinPartitions("g", "c", "doc", "span")
-    found = scratch.keep(parse.mapInArrow(lambda b: _classes(b, config), "kind int, g long, doc long, start long, size long"), "found")
-    by_doc = found.filter(F.col("kind") != DUP).groupBy("doc").agg(F.collect_list(F.struct("kind", "g", "start", "size")).alias("edges"))
-    cut = texts.join(by_doc, "doc").select("doc", "text", "edges").mapInArrow(lambda b: _cut(b, config), "kind int, g long, doc long, start long, before long, context binary")
-    cut = scratch.keep(cut, "cut")
+    found = scratch.keep(parse.mapInArrow(lean(lambda b: _classes(b, config)), "kind int, g long, doc long, start long, size long"), "found")
+    edges = found.filter(F.col("kind") != DUP)
+    by_doc = edges.groupBy("doc").agg(F.collect_list(F.struct("kind", "g", "start", "size")).alias("edges"))
+    cut = texts.join(by_doc, "doc").select("doc", "text", "edges").mapInArrow(lean(lambda b: _cut(b, config)), "kind int, g long, doc long, start long, before long, context binary")
     rows = ["g", "doc", "start", "before", "context"]
-    many = scratch.keep(cut.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")).filter((F.col("n") > config.contexts) | (F.col("kind") == HOT)).select("g"), "many")
-    few = cut.join(many, "g", "left_anti").select(rows).repartition("g").sortWithinPartitions("g")
-    ranges = found.filter(F.col("kind") == DUP).select("doc", "start", F.col("size").alias("n")).unionByName(few.mapInArrow(lambda b: _compare(b, config), "doc long, start long, n long"))
-    if not many.isEmpty():
-        spread = cut.join(many, "g", "left_semi").select(rows).mapInArrow(lambda b: _spread(b, config), "g long, window long, doc long, start long, n long")
+    copies = texts.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")  # rows that share an id are cut one by one
+    crowds = edges.join(copies, "doc", "left").groupBy("g").agg(F.sum(F.coalesce("rows", F.lit(1))).alias("n"), F.max("kind").alias("kind"))
+    many = scratch.keep(crowds.filter((F.col("n") > config.contexts) | (F.col("kind") == HOT)).select("g"), "many")
+    crowded = not many.isEmpty()
+    cut = scratch.keep(cut, "cut") if crowded else cut  # read twice
+    few = (cut.join(many, "g", "left_anti") if crowded else cut).select(rows).repartition("g").sortWithinPartitions("g")
+    ranges = found.filter(F.col("kind") == DUP).select("doc", "start", F.col("size").alias("n")).unionByName(few.mapInArrow(lean(lambda b: _compare(b, config)), "doc long, start long, n long"))
+    if crowded:
+        spread = cut.join(many, "g", "left_semi").select(rows).mapInArrow(lean(lambda b: _spread(b, config)), "g long, window long, doc long, start long, n long")
         spread = scratch.keep(spread, "spread")
         first = spread.filter("n = 0").groupBy("g", "window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
         beyond = spread.filter("n = 0").join(first, ["g", "window"]).filter(F.struct("doc", "start") > F.col("first"))
@@ -405,8 +413,9 @@ def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordB
 def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), scratch: Scratch | None = None, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if ``texts``) the bytes that are kept, of every row."""
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
+    bound_batches(docs.sparkSession)
     ranges = repeated_ranges(docs, config, scratch)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = own.join(ranges.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    return joined.mapInArrow(lambda b: _kept(b, texts), schema)
+    return joined.mapInArrow(lean(lambda b: _kept(b, texts)), schema)

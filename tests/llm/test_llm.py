@@ -533,6 +533,27 @@ def test_repeats_equal_brute_force(spark, config):
     assert got == removed(rows)
 
 
+def test_repeats_hold_and_write_little_at_once(spark, monkeypatch):
+    """Arrow batches are bounded, contexts leave in pieces, and they are written only if some gram is crowded."""
+    kept, keep, key = [], common.Scratch.keep, "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, frame, name: (kept.append(name), keep(self, frame, name))[1])
+    texts, _ = corpus(18, 12, 60)
+    rows = [(i, f"{i} {t} {texts[-1 - i]} {i} {texts[i % 5]}") for i, t in enumerate(texts)]
+    for config, written in (({}, False), ({"contexts": 2}, True)):
+        spark.conf.unset(key)
+        kept.clear()
+        got = repeats.remove_repeats(docs(spark, rows * 2).repartition(3), repeats.RepeatConfig(**config)).collect()  # rows that share an id don't repeat each other
+        assert len(got) == 2 * len(rows) and {r.doc_id: tuple(r)[1:5] for r in got} == removed(rows) and ("cut" in kept) == written
+        assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= 4 << 20
+    edges = [[{"kind": 0, "g": k, "start": k % 900, "size": (5 << 8) | 1} for k in range(1000)] for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 999] * 50), pa.array(edges, pa.list_(pa.struct([("kind", pa.int32()), *((n, pa.int64()) for n in ("g", "start", "size"))])))], names=["doc", "text", "edges"])
+    tracemalloc.start()
+    sizes = [(b.num_rows, b.column(5).type) for b in repeats._cut(iter([batch]), repeats.RepeatConfig())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [(10_000, pa.binary())] * 5 and peak < 50_000 * 200
+
+
 def test_repeats_of_long_texts():
     rng = random.Random(14)
     half = bytes(rng.choices(b"abcdef ", k=3000))
