@@ -36,21 +36,24 @@ def similarities(lines: DataFrame, window: int = 6) -> DataFrame:
 
 
 def candidates(lines: DataFrame, config: Scenes = Scenes()) -> DataFrame:
-    """(ep, i, strength, signals, similarity): turnover and transitions, merged."""
+    """(ep, i, strength, signals, similarity): turnover and transitions, merged.
+
+    Similarities are compared at 9 places, so that equal ones of other speakers stay equal.
+    """
     w = Window.partitionBy("ep").orderBy("i")
     far = F.lit(float("inf"))
-    near = similarities(lines, config.window).withColumn("_b", F.coalesce(F.lag("similarity").over(w), far)).withColumn("_a", F.coalesce(F.lead("similarity").over(w), far))
+    near = similarities(lines, config.window).withColumn("similarity", F.round("similarity", 9)).withColumn("_b", F.coalesce(F.lag("similarity").over(w), far)).withColumn("_a", F.coalesce(F.lead("similarity").over(w), far))
     s = F.col("similarity")
-    turnover = near.filter((s <= config.max_similarity) & (s <= F.col("_b")) & (s <= F.col("_a"))).select("ep", "i", (F.lit(1.0) + (config.max_similarity - s)).alias("strength"), F.lit(0).alias("kind"), "similarity")
+    turnover = near.filter((s <= config.max_similarity) & (s <= F.col("_b")) & (s <= F.col("_a"))).select("ep", "i", (F.lit(1.0 + config.max_similarity) - s).alias("strength"), F.lit(0).alias("kind"), "similarity")
     opens = lines.filter((F.col("i") > 0) & F.col("clean_text").rlike("(?i)" + config.transitions)).select("ep", "i", F.lit(2.0).alias("strength"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("similarity"))
     names = F.array(F.lit("speaker_turnover"), F.lit("transition_phrase"))
     return turnover.unionByName(opens).groupBy("ep", "i").agg(F.sum("strength").alias("strength"), F.transform(F.array_sort(F.collect_list("kind")), lambda k: F.get(names, k)).alias("signals"), F.max("similarity").alias("similarity"))
 
 
 def accept(found: list[tuple[float, int]], n_lines: int, least: int) -> list[int]:
-    """Boundaries taken strongest first that leave every scene ``least`` lines."""
+    """Boundaries taken strongest first (at 9 places, earlier lines first) that leave every scene ``least`` lines."""
     chosen: list[int] = []
-    for _, i in sorted((-s, i) for s, i in found):
+    for _, i in sorted((-round(s, 9), i) for s, i in found):
         if least <= i <= n_lines - least and all(abs(i - c) >= least for c in chosen):
             chosen.append(i)
     return sorted(chosen)

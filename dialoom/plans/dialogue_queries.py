@@ -49,7 +49,8 @@ cand AS (SELECT ep, i, sum(strength)::DOUBLE AS strength, string_agg(sig, ',' OR
 
 @query("scene_candidates", f"WITH {_CAND} SELECT ep, i, round(strength, 6) AS strength, signals FROM cand")
 def scene_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.candidates(lines(spark, sf_dir)).select("ep", "i", F.round("strength", 6).alias("strength"), F.array_join("signals", ",").alias("signals"))
+    six = F.floor(F.col("strength") * 1e6 + 0.5) / 1e6  # halves of the binary product, as the SQL has them; F.round takes those of the printed number
+    return S.candidates(lines(spark, sf_dir)).select("ep", "i", six.alias("strength"), F.array_join("signals", ",").alias("signals"))
 
 
 @query("transition_lines", f"WITH {LINES} SELECT ep, i FROM l WHERE i > 0 AND regexp_matches(clean_text, '(?i){TRANSITIONS}')")
