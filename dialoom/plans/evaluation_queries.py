@@ -46,7 +46,7 @@ _RANKED = f"{DENSE}, rk AS ({ranked_sql('dense', 50, 'query_id <> chunk_id')}),
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v, asked = vectors(spark, sf_dir), asked_vectors(spark, sf_dir)
-    scored = R.dense_scores(v.select("chunk_id", "vector"), asked).filter("query_id <> chunk_id")
+    scored = R.dense_scores(v.select("chunk_id", "vector"), asked, 50, others=True)
     own = v.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("ql"))
     met = R.top_k(scored, 50).join(v.select("chunk_id", "label"), "chunk_id").join(own, "query_id")
     hits = met.filter((F.col("label") == F.col("ql")) | (F.col("label") == (F.col("ql") + 1) % 10)).select("query_id", "rank", F.when(F.col("label") == F.col("ql"), 0).otherwise(1).alias("target"))
