@@ -99,9 +99,8 @@ def _bow_sql(source: str, key: str, name: str) -> str:
 BOW = f"{_bow_sql('documents', 'doc_id', 'bd')}, {_bow_sql('benchmark', 'item_id', 'bq')}, bow AS (SELECT bq.id AS query_id, bd.id AS chunk_id, list_dot_product(bd.vector, bq.vector) AS score FROM bd, bq)"
 
 
-def bow_scores(spark: SparkSession, sf_dir: str, k: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    some = chunks(spark, sf_dir)
-    docs = R.embed_words(some if allowed is None else some.join(allowed, "chunk_id", "left_semi"), "chunk_id")
+def bow_scores(spark: SparkSession, sf_dir: str, k: int | None = None, filters: R.Filters = R.Filters()) -> DataFrame:
+    docs = R.embed_words(chunks(spark, sf_dir).filter(filters.column()), "chunk_id")
     return R.dense_scores(docs, R.embed_words(questions(spark, sf_dir), "query_id"), k)
 
 
@@ -121,15 +120,16 @@ def _with_ranks(frame: DataFrame) -> list:
 
 @query("rrf_fusion", f"WITH {BM25}, {BOW}, {FUSED.format(a='bm25', b='bow')} SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank, dense_rank FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = R.top_k(R.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir)), 30).withColumn("method", F.lit("bm25"))
+    a = R.Bm25(chunks(spark, sf_dir)).search(questions(spark, sf_dir), 30).withColumn("method", F.lit("bm25"))
     b = R.top_k(bow_scores(spark, sf_dir, 30), 30).withColumn("method", F.lit("dense"))
     fused = R.fuse(a.unionByName(b))
     return fused.select("query_id", "chunk_id", F.round("score", 6).alias("score"), *_with_ranks(fused))
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, allowed: DataFrame | None = None) -> DataFrame:
-    scored = {"bm25": R.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir)), "dense": bow_scores(spark, sf_dir, 30, allowed)}
-    out = R.hybrid(scored, 8, allowed=allowed)
+def _hybrid(spark: SparkSession, sf_dir: str, filters: R.Filters = R.Filters()) -> DataFrame:
+    docs = chunks(spark, sf_dir)
+    scored = {"bm25": R.bm25_best(docs, questions(spark, sf_dir), 30, among=docs.filter(filters.column())), "dense": bow_scores(spark, sf_dir, 30, filters)}
+    out = R.hybrid(scored, 8)
     return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), *_with_ranks(out))
 
 
@@ -147,5 +147,4 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters act before the fusion depth is cut."""
-    allowed = chunks(spark, sf_dir).filter(R.Filters(speakers=("en",)).column()).select("chunk_id")
-    return _hybrid(spark, sf_dir, allowed)
+    return _hybrid(spark, sf_dir, R.Filters(speakers=("en",)))
